@@ -20,6 +20,17 @@ def _ordered(c: Column, pos: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(pos.alias("p"), _text(c).alias("v"))))), lambda x: x["v"])
 
 
+def _longest(c: Column, p: Column) -> Column:
+    """Of the longest values the one first in order: their places and values as structs, the smallest place of the greatest length."""
+    least = F.min(F.when(c.isNotNull(), F.struct((-F.length(_text(c))).alias("n"), p.alias("p"), c.alias("v"))))
+    return least.getField("v")
+
+
+def _shortest(c: Column, p: Column) -> Column:
+    least = F.min(F.when(c.isNotNull(), F.struct(F.length(_text(c)).alias("n"), p.alias("p"), c.alias("v"))))
+    return least.getField("v")
+
+
 # Each builds a Column from the input column and the row's place.
 AGGREGATES: dict[str, Callable[[Column, Column], Column]] = {
     "sum": lambda c, p: F.coalesce(F.sum(c), F.lit(0)),
@@ -41,8 +52,8 @@ AGGREGATES: dict[str, Callable[[Column, Column], Column]] = {
     "size": lambda c, p: F.count(F.lit(1)),
     "concatenate": lambda c, p: F.array_join(_ordered(c, p), ","),
     "concatenate distinct": lambda c, p: F.array_join(F.array_distinct(_ordered(c, p)), ","),
-    "longest": lambda c, p: F.max_by(c, F.when(c.isNotNull(), F.struct(F.length(_text(c)).alias("n"), (-_rank(p)).alias("p")))),
-    "shortest": lambda c, p: F.min_by(c, F.when(c.isNotNull(), F.struct(F.length(_text(c)).alias("n"), _rank(p).alias("p")))),
+    "longest": _longest,
+    "shortest": _shortest,
     "mode": lambda c, p: F.mode(c, True),
     "approx count distinct": lambda c, p: F.approx_count_distinct(c),
 }
@@ -53,10 +64,6 @@ SAME = {"avg": "mean", "average": "mean", "count_distinct": "count distinct", "n
 ORDERED = {"first", "last", "concatenate", "concatenate distinct", "longest", "shortest"}
 
 
-def _rank(p: Column) -> Column:
-    return p.cast("double") if False else p
-
-
 def resolve(fn: object) -> tuple[str, Callable[[Column, Column], Column], bool]:
     """(label, builder, needs order) of an aggregate given by name or as a function Column -> Column; ValueError if unknown."""
     if callable(fn):
