@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorline.operators.value_counts import median_of_counts
-from anchorline.session import join_small, materialize
+from anchorline.session import BROADCAST_ROWS, materialize
 
 CELL = T.StructType([
     T.StructField("row_id", T.LongType()), T.StructField("col", T.StringType()), T.StructField("value", T.StringType()),
@@ -19,12 +19,13 @@ CELL = T.StructType([
 
 @dataclass
 class Target:
-    """A column to fill: its blocks from narrow to wide (lists of observed features; the first is also split by month)
-    and whether it holds integers (weighted median) or text (majority)."""
+    """A column to fill: its blocks from narrow to wide (lists of observed features), whether it holds integers (weighted
+    median) or text (majority), and whether the first block is also split by month and its donors weighted by nearness."""
 
     col: str
     blocks: list[list[str]]
     numeric: bool = True
+    timed: bool = True
 
 
 @dataclass
@@ -40,7 +41,7 @@ class HotDeck:
 def hot_deck(df: DataFrame, targets: list[Target], missing: dict[str, Column], row_id: str, day: str) -> HotDeck:
     """Fill the cells for which `missing[col]` holds.
 
-    Records are hashed into blocks by their observed features. In the narrowest block (features and month) each
+    Records are hashed into blocks by their observed features. In a timed first block (features and month) each
     donor weighs 1 / (1 + days apart); wider blocks, tried for cells without a donor so far, weigh all their donors alike. Numbers get
     the weighted (lower) median of the donors, text their majority (ties fixed by a hash of the text), so a filled value always
     occurs in a donor, which is named. Donors enter as counts per (block, day, value): a hot block costs no more than
@@ -81,16 +82,18 @@ def hot_deck(df: DataFrame, targets: list[Target], missing: dict[str, Column], r
 
 def _fill(donors: DataFrame, receivers: DataFrame, t: Target) -> DataFrame:
     """receivers with _value, _donor, _n (donors in the block) and _level (1 is the narrowest block; null without a donor)."""
-    counts = donors.groupBy(*sorted({f for b in t.blocks for f in b}), "_day", F.col(t.col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_d"))
-    counts = materialize(counts, "donors")
     done, rest = None, receivers
     for level, block in enumerate(t.blocks, 1):
         keys = [f"_k{i}" for i in range(len(block))]
         keyed = lambda x: x.select("*", *[F.col(f).alias(k) for f, k in zip(block, keys, strict=True)]).filter(" and ".join(f"{k} is not null" for k in keys) or "true")  # noqa: B023, E731
-        picked = _near(keyed(counts), keyed(rest), keys, t) if level == 1 else _all(keyed(counts), keyed(rest), keys, t)
-        tail = keyed(rest).select("_id", "_day", *keys)
-        if level == 1:
-            got = tail.withColumn("_month", F.trunc("_day", "month")).join(picked, [*keys, "_month", "_day"])
+        near = t.timed and level == 1
+        given = keyed(donors).select(*keys, "_id", F.col(t.col).alias("_v"), *([F.trunc("_day", "month").alias("_month"), F.col("_day").alias("_from")] if near else []))
+        by = [*keys, "_month"] if near else keys
+        tail = keyed(rest).select("_id", "_day", F.trunc("_day", "month").alias("_month"), *keys)
+        counts = _asked(given, tail, by, ["_from", "_v"] if near else ["_v"])
+        picked = _near(counts, tail, keys, t) if near else _all(counts, keys, t)
+        if near:
+            got = tail.join(picked, [*keys, "_month", "_day"])
         elif keys:
             got = tail.join(picked, keys)
         else:
@@ -102,28 +105,41 @@ def _fill(donors: DataFrame, receivers: DataFrame, t: Target) -> DataFrame:
             rest = materialize(rest, "unfilled")
             if rest.isEmpty():
                 return done
-    none = rest.select("_id", F.lit(None).cast(counts.schema["_v"].dataType).alias("_value"), F.lit(None).cast("bigint").alias("_donor"), F.lit(0).cast("bigint").alias("_n"), F.lit(None).cast("int").alias("_level"))
+    none = rest.select("_id", F.lit(None).cast(donors.schema[t.col].dataType).alias("_value"), F.lit(None).cast("bigint").alias("_donor"), F.lit(0).cast("bigint").alias("_n"), F.lit(None).cast("int").alias("_level"))
     return done.unionByName(none)
 
 
-def _near(counts: DataFrame, receivers: DataFrame, keys: list[str], t: Target) -> DataFrame:
+def _asked(given: DataFrame, tail: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Donors of the blocks that receivers ask for, counted per block and value: by, values, _c, _d (smallest donor id).
+
+    Few asked blocks are broadcast and donors filtered before they are counted; otherwise donors are counted first, which leaves
+    of a hot block only its distinct values, and then joined.
+    """
+    count = lambda x: x.groupBy(*by, *values).agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_d"))
+    if not by:
+        return count(given)
+    asked = materialize(tail.select(*by).distinct(), "asked")
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return count(given.join(F.broadcast(asked), by, "left_semi"))
+    return count(given).join(asked, by, "left_semi")
+
+
+def _near(counts: DataFrame, tail: DataFrame, keys: list[str], t: Target) -> DataFrame:
     """Per block, month and receiving day: the donors of that month, weighted by how near their day is."""
-    month = F.trunc("_day", "month").alias("_month")
-    asked = receivers.select(*keys, month, "_day").filter("_day is not null").distinct()
-    given = counts.groupBy(*keys, month, F.col("_day").alias("_from"), "_v").agg(F.sum("_c").alias("_c"), F.min("_d").alias("_d"))
+    days = tail.select(*keys, "_month", "_day").filter("_day is not null").distinct()
     # At most 31 asking days meet the (day, value) counts of one block and month.
-    pairs = given.join(asked, [*keys, "_month"]).withColumn("_gap", F.abs(F.date_diff("_from", "_day")))
+    pairs = counts.join(days, [*keys, "_month"]).withColumn("_gap", F.abs(F.date_diff("_from", "_day")).cast("bigint"))
     by = [*keys, "_month", "_day"]
-    vals = pairs.groupBy(*by, "_v").agg(F.sum(F.col("_c") / (1 + F.col("_gap"))).alias("_w"), F.sum("_c").alias("_c"), F.min(F.struct("_gap", "_d")).alias("_at"))
+    vals = pairs.groupBy(*by, "_v").agg(F.sum(F.col("_c") / (1 + F.col("_gap"))).alias("_w"), F.sum("_c").alias("_c"), F.min_by("_d", F.struct("_gap", "_d")).alias("_d"))
     return _choose(vals, by, t)
 
 
 def _choose(vals: DataFrame, by: list[str], t: Target) -> DataFrame:
     """The weighted lower median or majority of the values of each group; a group has at most a month's distinct values."""
     if not t.numeric:
-        best = F.max_by(F.struct("_v", "_at"), F.struct("_w", F.lit(0) - F.xxhash64("_v")))
-        return vals.groupBy(*by).agg(best.alias("_b"), F.sum("_c").alias("_n")).select(*by, F.col("_b._v").alias("_value"), F.col("_b._at._d").alias("_donor"), "_n")
-    arr = vals.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_v", "_w", F.col("_at._d").alias("_d")))).alias("_a"), F.sum("_w").alias("_t"), F.sum("_c").alias("_n"))
+        best = F.max_by(F.struct("_v", "_d"), F.struct("_w", F.lit(0) - F.xxhash64("_v")))
+        return vals.groupBy(*by).agg(best.alias("_b"), F.sum("_c").alias("_n")).select(*by, F.col("_b._v").alias("_value"), F.col("_b._d").alias("_donor"), "_n")
+    arr = vals.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_v", "_w", "_d"))).alias("_a"), F.sum("_w").alias("_t"), F.sum("_c").alias("_n"))
     walk = F.aggregate(
         "_a", F.struct(F.lit(0.0).alias("s"), F.lit(None).cast(vals.schema["_v"].dataType).alias("v"), F.lit(None).cast("bigint").alias("d")),
         lambda acc, x: F.when(acc["v"].isNotNull(), acc).otherwise(
@@ -134,11 +150,8 @@ def _choose(vals: DataFrame, by: list[str], t: Target) -> DataFrame:
     return arr.select(*by, walk.alias("_b"), "_n").select(*by, F.col("_b.v").alias("_value"), F.col("_b.d").alias("_donor"), "_n")
 
 
-def _all(counts: DataFrame, receivers: DataFrame, keys: list[str], t: Target) -> DataFrame:
-    """Per block that is asked for: all its donors alike."""
-    if keys:
-        counts = join_small(counts, materialize(receivers.select(*keys).distinct(), "asked"), keys, "left_semi")
-    vals = counts.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"), F.min("_d").alias("_d"))
+def _all(vals: DataFrame, keys: list[str], t: Target) -> DataFrame:
+    """Per block: all its donors alike."""
     if not t.numeric:
         best = F.max_by(F.struct("_v", "_d"), F.struct("_c", F.lit(0) - F.xxhash64("_v")))
         out = vals.groupBy(*keys).agg(best.alias("_b"), F.sum("_c").alias("_n")).filter("_n is not null")

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.session import materialize
+from anchorline.session import join_small, materialize
 
 #: Texts that by convention say "no value", in lower case without white space around them.
 PLACEHOLDERS = ("n/a", "na", "#n/a", "n.a.", "null", "nil", "none", "nan", "unknown", "undefined", "missing", "not available", "tbd", "tba", "unspecified")
 
-#: A value is a stand-in if it recurs in at least so many groups and fits its own group in less than this share.
+#: A value is a stand-in if it recurs in at least so many groups (two: its smallest and largest differ) and fits them in less than this share.
 LEAST_GROUPS, FITS = 2, 0.2
 #: A number fits if it lies within this factor of what its group and its partner column let expect.
 FACTOR = 2.5
@@ -48,38 +48,32 @@ def find_stand_ins(df: DataFrame, group: str, category: str, amount: str, quanti
 
     A number is held against its expectation: amounts and quantities of one `group` are tied by its usual rate
     (amount / quantity), corrected by how far the rates of the `period` are from usual. A value that recurs in at least
-    LEAST_GROUPS groups, and in fewer than FITS of its combinations lies within FACTOR of the expectation, is a
-    stand-in. A text recurs in place of a value if fewer than FITS of its combinations have it as their group's most frequent text;
-    blank texts, texts without letter or digit and PLACEHOLDERS always are. Only distinct combinations are compared, so a
-    hot group weighs no more than its variety. Null groups give no evidence; an empty table has no stand-ins.
+    LEAST_GROUPS groups, and in fewer than FITS of its rows lies within FACTOR of the expectation, is a stand-in. A text recurs in
+    place of a value if it is the most frequent text of fewer than FITS of the groups it occurs in; blank texts, texts without letter or
+    digit and PLACEHOLDERS always are. Null groups give no evidence; an empty table has no stand-ins.
+
+    All steps are aggregates with map-side combination, so a hot group is no hot task; usual rates are approximate
+    medians, mergeable and bounded in memory, and the factor is wide against their error.
     """
-    combos = df.groupBy(
-        F.col(group).alias("g"), F.col(period).alias("p"), F.col(amount).cast("double").alias("a"), F.col(quantity).cast("double").alias("q"), F.col(category).alias("c")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    combos = materialize(combos, "combos")
-    known = combos.filter("g is not null")
-    rated = known.filter("a is not null and a <> 0 and q > 0").withColumn("r", F.abs("a") / F.col("q"))
-    # Usual rate of a group and of a period: approximate medians, mergeable and bounded in memory; a wide factor follows.
-    rate = rated.groupBy("g").agg(F.percentile_approx("r", 0.5, 200).alias("rate"))
-    fits = rated.join(rate, "g").withColumn("rel", F.col("r") / F.col("rate"))
-    fits = materialize(fits.select("g", "p", "a", "q", "rel"), "rates")
-    off = fits.groupBy("p").agg(F.percentile_approx("rel", 0.5, 1000).alias("off"))
-    rel = fits.join(F.broadcast(off) if off.limit(100_001).count() <= 100_000 else off, "p")
-    within = (F.col("rel") / F.col("off")).between(1 / FACTOR, FACTOR).cast("int")
-
-    def numbers(frame: DataFrame, col: str, name: str) -> DataFrame:
-        by = frame.groupBy(F.col(col).alias("v")).agg(F.avg("fit").alias("fit"), F.approx_count_distinct("g").alias("groups"))
-        return by.filter((F.col("groups") >= LEAST_GROUPS) & (F.col("fit") < FITS)).select(F.lit(name).alias("col"), F.col("v").cast("bigint").cast("string").alias("value"))
-
-    fit = rel.select("g", "a", "q", within.alias("fit"))
-    # Zero, and quantities of zero or less, have no rate: they fit nothing.
-    none = known.select("g", "a", "q", F.lit(0).alias("fit"))
-    amounts = numbers(fit.unionByName(none.filter("a = 0")), "a", amount)
-    quantities = numbers(fit.unionByName(none.filter("q <= 0")), "q", quantity)
-    texts = known.filter("c is not null")
-    own = texts.filter(~placeholder_text(F.col("c"))).groupBy("g", "c").agg(F.sum("n").alias("n")).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("own"))
-    by = texts.select("g", "c").distinct().join(own, "g").groupBy("c").agg(F.avg((F.col("c") == F.col("own")).cast("int")).alias("fit"), F.count(F.lit(1)).alias("groups"))
-    odd = by.filter((F.col("groups") >= LEAST_GROUPS) & (F.col("fit") < FITS)).select("c")
-    plain = combos.filter(placeholder_text(F.col("c"))).select("c")
+    rows = df.select(F.col(group).alias("g"), F.col(period).alias("p"), F.col(amount).cast("double").alias("a"), F.col(quantity).cast("double").alias("q"), F.col(category).alias("c"))
+    known = rows.filter("g is not null")
+    rated = known.filter("a is not null and a <> 0 and q > 0").select("g", "p", "a", "q", (F.abs("a") / F.col("q")).alias("r"))
+    rate = materialize(rated.groupBy("g").agg(F.percentile_approx("r", 0.5, 200).alias("rate")), "rates")
+    rel = join_small(rated, rate, "g").withColumn("rel", F.col("r") / F.col("rate"))
+    off = materialize(rel.groupBy("p").agg(F.percentile_approx("rel", 0.5, 1000).alias("off")), "offsets")
+    fit = (F.col("rel") / F.col("off")).between(1 / FACTOR, FACTOR).cast("int")
+    fits = join_small(rel, off, "p").select("g", "a", "q", fit.alias("fa"), fit.alias("fq"))
+    # Zero, and quantities under one, have no rate: they fit nothing, and say nothing of the other column.
+    none = known.filter("a = 0 or q <= 0").select("g", F.when(F.col("a") == 0, F.col("a")).alias("a"), F.when(F.col("q") <= 0, F.col("q")).alias("q"), F.lit(0).alias("fa"), F.lit(0).alias("fq"))
+    cells = F.array(F.struct(F.lit(amount).alias("col"), F.col("a").alias("v"), F.col("fa").alias("fit")), F.struct(F.lit(quantity).alias("col"), F.col("q").alias("v"), F.col("fq").alias("fit")))
+    long = fits.unionByName(none).select(F.xxhash64("g").alias("h"), F.explode(cells).alias("x")).select("h", "x.*").filter("v is not null")
+    by = long.groupBy("col", "v").agg(F.avg("fit").alias("fit"), F.min("h").alias("lo"), F.max("h").alias("hi"))  # two groups: lo and hi differ
+    numbers = by.filter((F.col("lo") != F.col("hi")) & (F.col("fit") < FITS)).select("col", F.col("v").cast("bigint").cast("string").alias("value"))
+    texts = materialize(rows.filter("c is not null").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")), "texts")
+    held = texts.filter("g is not null")
+    own = held.filter(~placeholder_text(F.col("c"))).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("own"))
+    seen = held.join(own, "g").groupBy("c").agg(F.avg((F.col("c") == F.col("own")).cast("int")).alias("fit"), F.count(F.lit(1)).alias("groups"))
+    odd = seen.filter((F.col("groups") >= LEAST_GROUPS) & (F.col("fit") < FITS)).select("c")
+    plain = texts.filter(placeholder_text(F.col("c"))).select("c")
     words = odd.union(plain).distinct().select(F.lit(category).alias("col"), F.col("c").alias("value"))
-    return StandIns(materialize(amounts.union(quantities).union(words), "stand-ins"))
+    return StandIns(materialize(numbers.union(words), "stand-ins"))

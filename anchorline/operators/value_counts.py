@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from anchorline.session import join_small, materialize, new_path
 
 KEYS = ["table", "col", "load_id"]
-#: Bits by which the radix levels of `median_of_counts` shift; each level orders at most 2**24 buckets in a group.
-SHIFTS = (40, 20, 0)
+#: Bits of the value that each radix level of `median_of_counts` looks at.
+BITS = 20
 
 #: One address: dot-separated pieces, @, two or more labels of which the last has letters only.
 EMAIL = r"\A[A-Za-z0-9_%+-]+(\.[A-Za-z0-9_%+-]+)*@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\z"
@@ -80,21 +80,29 @@ def median_of_counts(counts: DataFrame, by: list[str], value: Column, n: str = "
 
     The mean of the two middle values (double), or with `lower` the smaller of them, a value that occurs (bigint).
 
-    Radix selection: at each level only the bucket that holds the middle is refined, so no task orders more than
-    2**24 buckets. Rows with a null value take no part; a group without values gives no row.
+    Radix selection over the range of the values: at each level only the bucket that holds the middle is refined, so no
+    task orders more than 2**BITS buckets of a group. Rows with a null value take no part; a group without values gives no row.
     """
     vals = counts.select(*by, value.cast("bigint").alias("v"), F.col(n).alias("n")).filter("v is not null")
+    low, high = vals.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        low = high = 0
+    levels = max(1, -(-(high - low).bit_length() // BITS))
+    if levels > 3:  # the difference could leave the range of bigint: the sign bit is its own level
+        low = 0
+    shifts = [BITS * i for i in range(levels)][::-1]
+    vals = vals.withColumn("v", F.col("v") - F.lit(low))
     total = vals.groupBy(*by).agg(F.sum("n").alias("total"))
     ranks = ["(total + 1) div 2"] if lower else ["(total + 1) div 2", "total div 2 + 1"]
     want = total.select(*by, F.explode(F.array_distinct(F.array(*[F.expr(r) for r in ranks]))).alias("rank"))
     want = want.withColumn("before", F.lit(0).cast("bigint")).withColumn("prefix", F.lit(None).cast("bigint"))
-    for level, shift in enumerate(SHIFTS):
+    for level, shift in enumerate(shifts):
         bucket = F.shiftright("v", shift)
         part = vals if level == 0 else vals.join(
             want.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("prefix").alias("_prefix")).distinct(),
-            _same(by) & (F.shiftright("v", SHIFTS[level - 1]) == F.col("_prefix")), "left_semi",
+            _same(by) & (F.shiftright("v", shifts[level - 1]) == F.col("_prefix")), "left_semi",
         )
-        hist = part.groupBy(*by, bucket.alias("bucket"), F.shiftright("v", SHIFTS[level - 1]).alias("up") if level else F.lit(None).cast("bigint").alias("up")).agg(F.sum("n").alias("n"))
+        hist = part.groupBy(*by, bucket.alias("bucket"), F.shiftright("v", shifts[level - 1]).alias("up") if level else F.lit(None).cast("bigint").alias("up")).agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*by, "up").orderBy("bucket")
         hist = hist.withColumn("upto", F.sum("n").over(w)).select(
             *[F.col(b).alias(f"_{b}") for b in by], F.col("up").alias("_up"), F.col("bucket").alias("_bucket"), F.col("n").alias("_n"), F.col("upto").alias("_upto")
@@ -103,8 +111,8 @@ def median_of_counts(counts: DataFrame, by: list[str], value: Column, n: str = "
             hist, _same(by) & F.col("prefix").eqNullSafe(F.col("_up")) & (F.col("rank") - F.col("before") > F.col("_upto") - F.col("_n")) & (F.col("rank") - F.col("before") <= F.col("_upto"))
         ).select(*by, "rank", (F.col("before") + F.col("_upto") - F.col("_n")).alias("before"), F.col("_bucket").alias("prefix"))
     if lower:
-        return want.select(*by, F.col("prefix").alias("median"))
-    return want.groupBy(*by).agg(F.avg("prefix").alias("median"))
+        return want.select(*by, (F.col("prefix") + F.lit(low)).alias("median"))
+    return want.groupBy(*by).agg((F.avg("prefix") + F.lit(low)).alias("median"))
 
 
 def _same(by: list[str]) -> Column:

@@ -129,7 +129,7 @@ def filled_sales(sales: DataFrame) -> HotDeck:
     targets = [
         Target("Amount", [["Product", "Quantity"], ["Product", "Quantity"], ["Product"], ["Category"], []]),
         Target("Quantity", [["Product", "Amount"], ["Product", "Amount"], ["Product"], ["Category"], []]),
-        Target("Category", [["Product"], ["Product"], ["CustomerID"], []], numeric=False),
+        Target("Category", [["Product"], ["CustomerID"], []], numeric=False, timed=False),
     ]
     return hot_deck(sales, targets, missing_cells(sales), "row_id", "Date")
 
