@@ -114,7 +114,8 @@ def formula(df: DataFrame, column: str, expression: str | Column | Callable, udf
         return df.withColumn(column, compile_any(expression, df))
     if returns is None:
         raise ValueError("a pandas function needs the type it returns")
-    return df.withColumn(column, _series(lambda *cols: expression(pd.concat(cols, axis=1, keys=df.columns)), spark_type(returns))(*[col(c) for c in df.columns]))
+    names = df.columns  # the function must not hold the frame
+    return df.withColumn(column, _series(lambda *cols: expression(pd.concat(cols, axis=1, keys=names)), spark_type(returns))(*[col(c) for c in names]))
 
 
 def _series(fn: Callable, returns: str) -> Callable[..., Column]:

@@ -92,7 +92,7 @@ def violations(df: DataFrame, schema: dict) -> list[str]:
         if spec.get("nullable") is False:
             checks.append((name, "null", "null value(s)", F.count_if(c.isNull()), None))
         for rule in RULES:
-            if spec.get(rule) in (None, False):
+            if spec.get(rule) is None or spec.get(rule) is False:
                 continue
             if rule == "unique":
                 checks.append((name, rule, "repeated value(s)", F.count(c) - F.count_distinct(c), None))

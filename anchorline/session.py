@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Rows up to which a side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
+_made: list[tuple[SparkSession, str]] = []
+
 _current: contextvars.ContextVar[SparkSession | None] = contextvars.ContextVar("anchorline_spark", default=None)
 
 
@@ -56,9 +58,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed by `clean_up` or when the driver ends."""
     path = os.path.join(shared_dir(spark), f"anchorline-{name}-{uuid.uuid4().hex}")
-    atexit.register(_remove, spark, path)
+    _made.append((spark, path))
     return path
 
 
@@ -84,3 +86,14 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     for k in keys:
         cond = cond & left[k].eqNullSafe(right[k])
     return cond
+
+
+def clean_up() -> int:
+    """Remove all tables that `materialize` and the tools wrote so far; frames that still read them become unusable. The number removed."""
+    n = len(_made)
+    while _made:
+        _remove(*_made.pop())
+    return n
+
+
+atexit.register(clean_up)
