@@ -106,7 +106,7 @@ def prose(r: random.Random, lang: str) -> str:
     elif form < 0.5:
         text = text.replace(" ", " ", r.randint(1, 5)) if lang != "ja" else "　" + text
     elif form < 0.54:
-        text += r.choice([" 🙂", " (!)", " №7", " :)", " …", " [1]"])
+        text += r.choice([" 🙂", " (!)", " №7", " :)", " …", " [1]", " {1}", " a=2"])
     elif form < 0.57:
         text = text.replace(" ", r.choice(["  ", " \t", "   "]), r.randint(1, 6))
     return text
@@ -171,7 +171,8 @@ def junk(r: random.Random, lang: str) -> str:
     if form == 4:
         return "".join(r.choice("!$%&*<>=?@[]\\_{}|~^+- ") for _ in range(r.randint(20, 200)))
     if form == 5:
-        bits = ['<div class="c%d">', "</td><td>", "<br/>", "&nbsp;&nbsp;", "{padding:%dpx}", "function(){var b%d=1;}", "</span>", "<li><a href='#%d'>", "&amp;"]
+        bits = ['<div class="c%d">', "</td><td>", "<br/>", "&nbsp;&nbsp;", "&nbsp;", "{padding:%dpx}", "function(){var b%d=1;}", "(); let v%d=2;", "</span>", "<li><a href='#%d'>", "&amp;", "Home | About | ", "});", "item(%d);"]
+        bits = r.sample(bits, r.randint(3, 8))
         return "".join(b % r.randint(1, 99) if "%d" in b else b for b in r.choices(bits, k=r.randint(10, 60)))
     if form == 6:
         return r.choice("zqxeaomst-_=*.#") * r.randint(40, 300)

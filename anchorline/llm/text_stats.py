@@ -25,7 +25,7 @@ MOST_CELL_WORDS = 6.0
 #: Features the rules may look at, in the order of `features`.
 FEATURES = [
     "n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "line_end_share", "common_share", "n_lines", "bullet_share", "short_line_share", "grid_share", "grid_cells", "loop_share", "vowel_ratio", "case_flip_ratio",
-    "longest_word", "distinct_chars", "segment_words", "n_segments", "ends_per_segment", "kana_ratio", "letter_ratio", "wide_gap_share", "upper_ratio", "line_words", "cell_words",
+    "longest_word", "distinct_chars", "segment_words", "n_segments", "ends_per_segment", "kana_ratio", "letter_ratio", "wide_gap_share", "upper_ratio", "line_words", "cell_words", "brief_line_share", "markup_ratio",
 ]
 
 
@@ -79,7 +79,7 @@ def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFra
     wide = F.length(F.regexp_replace("body", r"[^\p{IsHiragana}\p{IsKatakana}\p{IsHan}ー]", ""))
     known = F.size(F.filter("words", lambda w: w.isin(*common) if common else F.lit(False)))
     lengths = F.transform("words", F.length)
-    line_size = F.transform("lines", lambda x: _count(x, r"[\p{L}\p{M}\p{N}]+") + _count(x, r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]") / 4)
+    line_size = F.transform(F.transform("lines", lambda x: F.regexp_replace(x, BULLET, "")), lambda x: _count(x, r"[\p{L}\p{M}\p{N}]+") + _count(x, r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]") / 4)
     latin = F.length(F.regexp_replace(F.lower("body"), r"[^a-zà-ÿа-яё]", ""))
     vowels = F.length(F.regexp_replace(F.lower("body"), r"[^aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿаеёиоуыэюя]", ""))
     scrap = F.length(F.regexp_extract("t", r"(?s)^\s*(.{1,160}?)\1{3,}", 0))
@@ -107,6 +107,8 @@ def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFra
         "upper_ratio": _div(F.length(F.regexp_replace("body", r"\P{Lu}", "")), letters),
         "line_words": _div(words + wide / 4, lines),
         "cell_words": cell_words,
+        "markup_ratio": _div(_count(F.col("t"), r"</?[A-Za-z][^<>]{0,60}>|&[A-Za-z]{2,8};|[{}]|\(\)|\w=\S"), words),
+        "brief_line_share": F.when(lines >= 3, _div(F.size(F.filter(line_size, lambda n: n <= 5)), lines)).otherwise(0.0),
     }
     blank = body == 0
     return one.select(F.col("_key").alias(key), *[F.when(blank, 0.0).otherwise(out[f]).alias(f) for f in FEATURES])
