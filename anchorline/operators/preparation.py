@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from anchorline.functions.checks import col, columns, frame, one_of
 from anchorline.functions.expressions import compile_any, compile_text
 from anchorline.functions.order import keys_of, positioned, temp, with_position
+from anchorline.functions.text import strip
 from anchorline.functions.types import group_of, is_number, is_text, spark_type
 from anchorline.session import get_spark, join_small, materialize
 
@@ -173,7 +174,7 @@ def data_cleansing(df: DataFrame, columns: list[str] | None = None, remove_null_
                 c = F.coalesce(c, F.lit(replace_nulls_with).cast(f.dataType))
             if is_text(f.dataType):
                 if strip_whitespace:
-                    c = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+                    c = strip(c)
                 if remove_letters:
                     c = F.regexp_replace(c, "[A-Za-z]", "")
                 if remove_numbers:

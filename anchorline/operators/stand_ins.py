@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anchorline.functions.text import strip
 from anchorline.session import join_small, materialize
 
 #: Texts that by convention say "no value", in lower case without white space around them.
@@ -18,11 +19,6 @@ LEAST_GROUPS, FITS = 2, 0.2
 FACTOR = 2.5
 
 
-def strip(col: Column) -> Column:
-    """Text without white space (any, Unicode included) around it."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
-
-
 def placeholder_text(col: Column) -> Column:
     """The text is blank, has no letter or digit, or is one of PLACEHOLDERS; null for null."""
     s = F.lower(strip(col))

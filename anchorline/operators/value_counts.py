@@ -19,7 +19,8 @@ KEYS = ["table", "col", "load_id"]
 BITS = 20
 
 #: One address: dot-separated pieces, @, two or more labels of which the last has letters only.
-EMAIL = r"\A[A-Za-z0-9_%+-]+(\.[A-Za-z0-9_%+-]+)*@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\z"
+#: Quantifiers are possessive where they can be: a very long text needs no deep stack.
+EMAIL = r"\A[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)++[A-Za-z]{2,}+\z"
 
 
 def counts_of(df: DataFrame, table: str, columns: list[str] | None = None, load_col: str | None = "load_id", sign: int = 1) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anchorline.functions.text import strip
 from anchorline.operators import references, rolling, skew
 from anchorline.operators import value_counts as vc
 from anchorline.operators.hot_deck import HotDeck, Target, hot_deck
-from anchorline.operators.stand_ins import StandIns, find_stand_ins, strip
+from anchorline.operators.stand_ins import StandIns, find_stand_ins
 from anchorline.session import materialize
 
 #: The tiers there are.
