@@ -25,7 +25,7 @@ MOST_CELL_WORDS = 6.0
 #: Features the rules may look at, in the order of `features`.
 FEATURES = [
     "n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "line_end_share", "common_share", "n_lines", "bullet_share", "short_line_share", "grid_share", "grid_cells", "loop_share", "vowel_ratio", "case_flip_ratio",
-    "longest_word", "distinct_chars", "segment_words", "n_segments", "ends_per_segment", "kana_ratio", "letter_ratio", "wide_gap_share", "upper_ratio", "line_words", "cell_words", "brief_line_share", "markup_ratio",
+    "longest_word", "segment_words", "n_segments", "ends_per_segment", "kana_ratio", "letter_ratio", "wide_gap_share", "upper_ratio", "line_words", "cell_words", "brief_line_share", "markup_ratio",
 ]
 
 
@@ -62,26 +62,29 @@ def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFra
     one = df.select(F.col(key).alias("_key"), t.alias("t"))
     bare = F.regexp_replace("t", f"(?m){BULLET}", "")  # what an item is marked with is no word of it
     one = one.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"(?U)\S"))).withColumn("body", F.regexp_replace("t", r"(?U)[\s\p{Z}\p{Cf}]+", ""))
-    one = one.withColumn("words", F.regexp_extract_all(F.lower(bare), F.lit(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\p{N}+"), F.lit(0)))
+    one = one.withColumn("words", F.regexp_extract_all(F.lower(bare), F.lit(r"[\p{L}\p{M}]++(?:['’][\p{L}\p{M}]++)*+|\p{N}++"), F.lit(0)))
     # Rows of dashes between the rows of a table hold no cells.
     one = one.withColumn("rows", F.filter("lines", lambda x: ~x.rlike(r"^[\s|+:=\-–—_]+$")))
     # Cells: of each delimiter, how many rows have as many as the row that most agree with.
     grids = [_most_even(F.col("rows"), rx, least) for rx, least in ((r"\t", 1), (r"\|", 2), (";", 2), (",", 2), (r"(?<=\S) {2,}(?=\S)", 1))]
     one = one.withColumn("grid", F.array_max(F.array(*grids)))
-    n_rows = F.size("rows")
     one = one.withColumn("head", F.regexp_replace(bare, r"^[^\n:：]{1,40}[:：]\s", "\n"))
     one = one.withColumn("segments", F.filter(F.split("head", r"\n|\s/\s|;\s*|\s[|•·●▪∙+>]\s|,\s|、|；|，|(?<=[.!?])\s|(?<=[。！？])"), lambda x: x.rlike(r"[\p{L}\p{N}]")))
-    body, words, lines = F.length("body"), F.size("words"), F.size("lines")
-    letters = F.length(F.regexp_replace("body", r"[^\p{L}\p{M}]", ""))
-    digits = F.length(F.regexp_replace("body", r"\P{N}", ""))
-    plain = F.length(F.regexp_replace("body", rf"[\p{{L}}\p{{M}}\p{{N}}]|{MARKS}", ""))
-    kana = F.length(F.regexp_replace("body", r"[^\p{IsHiragana}]", ""))
-    wide = F.length(F.regexp_replace("body", r"[^\p{IsHiragana}\p{IsKatakana}\p{IsHan}ー]", ""))
-    known = F.size(F.filter("words", lambda w: w.isin(*common) if common else F.lit(False)))
+    # Sizes that several statistics share are columns of their own, so each is computed once.
+    lower = F.lower("body")
+    one = one.withColumns({
+        "n_body": F.length("body"), "n_words": F.size("words"), "n_lines": F.size("lines"), "n_rows": F.size("rows"), "n_segments": F.size("segments"),
+        "n_letters": F.length(F.regexp_replace("body", r"[^\p{L}\p{M}]", "")), "n_digits": F.length(F.regexp_replace("body", r"\P{N}", "")),
+        "n_plain": F.length(F.regexp_replace("body", rf"[\p{{L}}\p{{M}}\p{{N}}]|{MARKS}", "")),
+        "n_kana": F.length(F.regexp_replace("body", r"[^\p{IsHiragana}]", "")), "n_wide": F.length(F.regexp_replace("body", r"[^\p{IsHiragana}\p{IsKatakana}\p{IsHan}ー]", "")),
+        "n_latin": F.length(F.regexp_replace(lower, r"[^a-zà-ÿа-яё]", "")), "n_vowels": F.length(F.regexp_replace(lower, r"[^aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿаеёиоуыэюя]", "")),
+        "n_known": F.size(F.filter("words", lambda w: w.isin(*common) if common else F.lit(False))),
+        "line_size": F.transform(F.transform("lines", lambda x: F.regexp_replace(x, BULLET, "")), lambda x: _count(x, r"[\p{L}\p{M}\p{N}]+") + _count(x, r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]") / 4),
+    })
+    body, words, lines, n_rows, segments, letters, digits, plain, kana, wide, latin, vowels, known = (
+        F.col(c) for c in ("n_body", "n_words", "n_lines", "n_rows", "n_segments", "n_letters", "n_digits", "n_plain", "n_kana", "n_wide", "n_latin", "n_vowels", "n_known")
+    )
     lengths = F.transform("words", F.length)
-    line_size = F.transform(F.transform("lines", lambda x: F.regexp_replace(x, BULLET, "")), lambda x: _count(x, r"[\p{L}\p{M}\p{N}]+") + _count(x, r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]") / 4)
-    latin = F.length(F.regexp_replace(F.lower("body"), r"[^a-zà-ÿа-яё]", ""))
-    vowels = F.length(F.regexp_replace(F.lower("body"), r"[^aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿаеёиоуыэюя]", ""))
     scrap = F.length(F.regexp_extract("t", r"(?s)^\s*(.{1,160}?)\1{3,}", 0))
     cell_words = _div(words + wide / 4, n_rows * (F.coalesce(F.col("grid.cells"), F.lit(0)) + 1))
     out = {
@@ -92,23 +95,22 @@ def statistics(df: DataFrame, key: str, text: str, common: list[str]) -> DataFra
         "common_share": F.when(wide * 2 > letters, _div(kana, letters)).otherwise(_div(known, words)),
         "n_lines": lines.cast("double"),
         "bullet_share": _div(F.size(F.filter("lines", lambda x: x.rlike(BULLET))), lines),
-        "short_line_share": _div(F.size(F.filter(F.zip_with("lines", line_size, lambda x, n: (n <= 5) & ~x.rlike(END)), lambda b: b)), lines),
+        "short_line_share": _div(F.size(F.filter(F.zip_with("lines", "line_size", lambda x, n: (n <= 5) & ~x.rlike(END)), lambda b: b)), lines),
         "grid_share": F.when((n_rows >= 2) & (cell_words <= MOST_CELL_WORDS), _div(F.col("grid.rows"), n_rows)).otherwise(0.0),
         "grid_cells": F.coalesce(F.col("grid.cells").cast("double"), F.lit(0.0)),
         "loop_share": _div(scrap, F.length("t")),
         "vowel_ratio": F.when(latin > 0, _div(vowels, latin)).otherwise(0.4),
         "case_flip_ratio": _div(_count(F.col("t"), r"\p{Ll}\p{Lu}|\p{L}\p{N}|\p{N}\p{L}"), body),
         "longest_word": F.coalesce(F.array_max(F.transform(F.split("t", r"[\s/、。，,]+"), F.length)), F.lit(0)).cast("double"),
-        "distinct_chars": F.size(F.array_distinct(F.split(F.substring("body", 1, 2_000_000), ""))).cast("double"),
-        "segment_words": _div(words + wide / 4, F.size("segments")), "n_segments": F.size("segments").cast("double"),
-        "ends_per_segment": _div(_count(F.col("t"), r"[.!?…](?=[\s\"'”’»)\]]|$)|[。！？]"), F.size("segments")),
+        "segment_words": _div(words + wide / 4, segments), "n_segments": segments.cast("double"),
+        "ends_per_segment": _div(_count(F.col("t"), r"[.!?…](?=[\s\"'”’»)\]]|$)|[。！？]"), segments),
         "kana_ratio": _div(wide, letters), "letter_ratio": _div(letters, body),
         "wide_gap_share": _div(F.size(F.filter("lines", lambda x: x.rlike(r"\S {2,}\S"))), lines),
         "upper_ratio": _div(F.length(F.regexp_replace("body", r"\P{Lu}", "")), letters),
         "line_words": _div(words + wide / 4, lines),
         "cell_words": cell_words,
         "markup_ratio": _div(_count(F.col("t"), r"</?[A-Za-z][^<>]{0,60}>|&[A-Za-z]{2,8};|[{}]|\(\)|\w=\S"), words),
-        "brief_line_share": F.when(lines >= 3, _div(F.size(F.filter(line_size, lambda n: n <= 5)), lines)).otherwise(0.0),
+        "brief_line_share": F.when(lines >= 3, _div(F.size(F.filter("line_size", lambda n: n <= 5)), lines)).otherwise(0.0),
     }
     blank = body == 0
     return one.select(F.col("_key").alias(key), *[F.when(blank, 0.0).otherwise(out[f]).alias(f) for f in FEATURES])
