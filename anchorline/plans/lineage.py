@@ -43,8 +43,8 @@ class LineageCollector:
     def record_step(self, step_id: str, tool: str, inputs: list[str], output_schema: dict[str, str] | None = None, row_count: int | None = None, duration_s: float | None = None, status: str = "COMPLETE") -> None:
         self.steps.append(Step(step_id, tool, list(inputs), output_schema or {}, row_count, duration_s, status, datetime.now(UTC).isoformat()))
 
-    def _facet(self, name: str, **body: object) -> dict:
-        return {"_producer": PRODUCER, "_schemaURL": FACETS[name]} | body
+    def _facet(self, kind: str, **body: object) -> dict:
+        return {"_producer": PRODUCER, "_schemaURL": FACETS[kind]} | body
 
     def to_openlineage_events(self) -> list[dict]:
         events = []
