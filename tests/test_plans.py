@@ -119,8 +119,8 @@ class TestConverter:
             ],
             [(1, "Output", 2, "Input"), (2, "True", 3, "Input"), (3, "Output", 4, "Input"), (2, "True", 5, "#1"), (2, "False", 5, "#2"), (5, "Output", 6, "Input"), (3, "Output", 7, "Input")],
         )
-        (csv / "w.yxmd").write_text(xml)
-        made = WorkflowConverter(csv / "w.yxmd")
+        (csv / "w.xml").write_text(xml)
+        made = WorkflowConverter(csv / "w.xml")
         assert made.node_count == 7 and made.mapped == 6 and made.coverage == pytest.approx(6 / 7) and len(made.warnings) == 1
         config = yaml.safe_load(made.to_yaml())
         assert config == made.to_dict()
@@ -138,8 +138,8 @@ class TestConverter:
     def test_join_sides_and_cycle(self, tmp_path):
         xml = workflow([(1, "TextInput", "a", ""), (2, "TextInput", "b", ""), (3, "Join", "j", "<JoinInfo connection='Left'><Field field='k'/></JoinInfo><JoinInfo connection='Right'><Field field='m'/></JoinInfo>"), (4, "Sort", "s", ""), (5, "Sort", "t", "")],
                        [(2, "Output", 3, "Right"), (1, "Output", 3, "Left"), (3, "Join", 4, "Input"), (5, "Output", 5, "Input")])
-        (tmp_path / "w.yxmd").write_text(xml)
-        made = WorkflowConverter(tmp_path / "w.yxmd")
+        (tmp_path / "w.xml").write_text(xml)
+        made = WorkflowConverter(tmp_path / "w.xml")
         join = next(s for s in made.steps if s["tool"] == "Join.join")
         assert join["inputs"] == {"left": "a_1", "right": "b_2"} and join["args"] == {"left_on": ["k"], "right_on": ["m"]}
         assert next(s for s in made.steps if s["id"] == "s_4")["inputs"] == {"df": "j_3.1"}
@@ -152,15 +152,15 @@ class TestConverter:
     def test_names_and_errors(self, tmp_path, capsys):
         assert plugin_name("Gui.DbFileInput.DbFileInput") == "DbFileInput" and plugin_name("Filter") == "Filter" and plugin_name("") == "" and plugin_name("Gui.VendorSelect.VendorSelect") == "Select"
         for text in ("not xml", "<a/>", "<!DOCTYPE x [<!ENTITY e 'v'>]><Nodes/>"):
-            (tmp_path / "w.yxmd").write_text(text)
+            (tmp_path / "w.xml").write_text(text)
             with pytest.raises(ValueError):
-                WorkflowConverter(tmp_path / "w.yxmd")
+                WorkflowConverter(tmp_path / "w.xml")
         with pytest.raises(FileNotFoundError):
-            WorkflowConverter(tmp_path / "no.yxmd")
-        (tmp_path / "e.yxmd").write_text("<Doc><Nodes/></Doc>")
-        assert yaml.safe_load(WorkflowConverter(tmp_path / "e.yxmd").to_yaml())["steps"] == []
-        assert cli.main(["convert", str(tmp_path / "e.yxmd"), "-o", str(tmp_path / "out" / "p.yaml"), "--summary"]) == 0
-        assert (tmp_path / "out" / "p.yaml").exists() and cli.main(["convert", str(tmp_path / "no.yxmd")]) == 1
+            WorkflowConverter(tmp_path / "no.xml")
+        (tmp_path / "e.xml").write_text("<Doc><Nodes/></Doc>")
+        assert yaml.safe_load(WorkflowConverter(tmp_path / "e.xml").to_yaml())["steps"] == []
+        assert cli.main(["convert", str(tmp_path / "e.xml"), "-o", str(tmp_path / "out" / "p.yaml"), "--summary"]) == 0
+        assert (tmp_path / "out" / "p.yaml").exists() and cli.main(["convert", str(tmp_path / "no.xml")]) == 1
 
 
 class TestStreams:

@@ -177,7 +177,7 @@ class TestStandInsAndHotDeck:
     def test_filled_amounts_are_right(self, spark):
         df, missing, price, _ = sales(spark, scaled=1)
         gone = {"Amount": F.col("Amount").isNull() | F.col("Amount").isin(-1, 99999999)}
-        deck = hot_deck(df, [Target("Amount", [["Product", "Quantity"], ["Product"], []])], gone, "row_id", "Date")
+        deck = hot_deck(df, [Target("Amount", [["Product", "Quantity"], ["Product", "Quantity"], ["Product"], []])], gone, "row_id", "Date")
         rows = {r.row_id: r for r in deck.filled.collect()}
         right = [rows[i].Amount == price[rows[i].Product] * rows[i].Quantity for i, c in missing if c == "Amount" and rows[i].Product and (i, "Quantity") not in missing]
         assert sum(right) > 0.9 * len(right)
