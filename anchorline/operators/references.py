@@ -80,10 +80,11 @@ def _and_not(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
 
 
 def orphan_rows(refs: DataFrame, parent: DataFrame, key: str, seen: str, arrived: str, deleted: str | None, keep: list[str]) -> DataFrame:
-    """Rows of `refs` whose reference does not exist: `keep` columns and kind (see `orphan_pairs`).
+    """Rows of `refs` whose reference does not exist: `keep` columns and kind (see `orphan_pairs`; a column of `refs` of that name is not kept).
 
     The pairs are found once and joined back; a key that many rows share is split by AQE where the pairs are too many to broadcast.
     """
+    keep = [c for c in keep if c != "kind"]
     pairs = materialize(orphan_pairs(refs, parent, key, seen, arrived, deleted), "orphans")
     rows = refs.filter(F.col(key).isNotNull()).select(*dict.fromkeys([*keep, key, seen]))
     return join_small(rows, pairs, [key, seen]).select(*keep, "kind")

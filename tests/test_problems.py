@@ -186,6 +186,7 @@ class TestStandInsAndHotDeck:
         d = date(2024, 5, 1)
         data = [(1, "A", 1, 10, d), (2, "A", 1, 10, d + timedelta(1)), (3, "A", 1, 99, d + timedelta(20)), (4, "A", 1, None, d + timedelta(1)), (5, "A", 1, None, d + timedelta(20)), (6, "B", 1, None, d)]
         df = spark.createDataFrame(data, "row_id bigint, Product string, Quantity bigint, Amount bigint, Date date")
+        df = df.withColumns({c: F.lit(7) for c in ("_id", "_m0", "_f0", "_day", "value", "donors")})  # names used inside
         deck = hot_deck(df, [Target("Amount", [["Product", "Quantity"], []])], {"Amount": F.col("Amount").isNull()}, "row_id", "Date")
         got = {r.row_id: (r.value, r.donor_id, r.level) for r in deck.cells.collect()}
         assert got == {4: ("10", 2, 1), 5: ("99", 3, 1), 6: ("10", 1, 2)}
@@ -232,7 +233,7 @@ class TestReferences:
             return "deleted" if gone[k] is not None and gone[k] <= at else None
 
         want = {(i, kind(k, at)) for i, k, at, _ in refs if kind(k, at)}
-        got = references.orphan_rows(a.drop("kind"), b, "k", "at", "arrived", "gone", ["row_id", "Date"])
+        got = references.orphan_rows(a, b, "k", "at", "arrived", "gone", ["row_id", "Date", "kind"])
         assert {(x.row_id, x.kind) for x in got.collect()} == want
         report = references.orphan_report(got, "t", "Date")
         assert sum(x.rows for x in report.collect()) == len(want)
