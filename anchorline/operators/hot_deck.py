@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from anchorline.operators.value_counts import median_of_counts
 from anchorline.session import BROADCAST_ROWS, materialize
 
+#: What names of columns added on the way begin with; no input column may.
+OWN = "__hot_deck_"
+
 CELL = T.StructType([
     T.StructField("row_id", T.LongType()), T.StructField("col", T.StringType()), T.StructField("value", T.StringType()),
     T.StructField("donor_id", T.LongType()), T.StructField("donors", T.LongType()), T.StructField("level", T.IntegerType()),
@@ -51,43 +54,50 @@ def hot_deck(df: DataFrame, targets: list[Target], missing: dict[str, Column], r
     names = [t.col for t in targets]
     if clash := [c for t in names for c in (f"{t}_filled", f"{t}_donor") if c in df.columns]:
         raise ValueError(f"columns already there: {clash}")
-    marks = [F.coalesce(missing[c], F.lit(False)).alias(f"_m{i}") for i, c in enumerate(names)]
+    marks = [F.coalesce(missing[c], F.lit(False)).alias(f"{OWN}m{i}") for i, c in enumerate(names)]
     marked = df.select("*", *marks)
     feats = sorted({f for t in targets for b in t.blocks for f in b} | set(names))
-    clean = {f: F.when(~F.col(f"_m{names.index(f)}"), F.col(f)) if f in names else F.col(f) for f in feats}
-    slim = marked.select(F.col(row_id).alias("_id"), F.col(day).cast("date").alias("_day"), *[c.alias(f) for f, c in clean.items()], *[f"_m{i}" for i in range(len(names))])
+    clean = {f: F.when(~F.col(f"{OWN}m{names.index(f)}"), F.col(f)) if f in names else F.col(f) for f in feats}
+    slim = marked.select(F.col(row_id).alias("_id"), F.col(day).cast("date").alias("_day"), *[c.alias(f) for f, c in clean.items()], *[f"{OWN}m{i}" for i in range(len(names))])
     some = F.lit(False)
     for i in range(len(names)):
-        some = some | F.col(f"_m{i}")
+        some = some | F.col(f"{OWN}m{i}")
     receivers = materialize(slim.filter(some), "receivers")
     cells = None
     for i, t in enumerate(targets):
-        own = _fill(slim.filter(F.col(t.col).isNotNull()), receivers.filter(f"_m{i}"), t).select(
+        own = _fill(slim.filter(F.col(t.col).isNotNull()), receivers.filter(f"{OWN}m{i}"), t).select(
             F.col("_id").cast("bigint").alias("row_id"), F.lit(t.col).alias("col"), F.col("_value").cast("string").alias("value"), F.col("_donor").cast("bigint").alias("donor_id"), F.col("_n").cast("bigint").alias("donors"), F.col("_level").alias("level")
         )
         cells = own if cells is None else cells.unionByName(own)
     cells = materialize(cells, "cells")
-    wide = cells.groupBy(F.col("row_id").alias("_id")).agg(*[F.max(F.when(F.col("col") == c, F.struct("value", "donor_id"))).alias(f"_f{i}") for i, c in enumerate(names)])
-    same = lambda i, c: F.when(F.col(f"_m{i}"), F.col(f"_f{i}.value").cast(df.schema[c].dataType)).otherwise(F.col(c))
-    extra = lambda i, c: [(F.col(f"_m{i}") & F.col(f"_f{i}.value").isNotNull()).alias(f"{c}_filled"), F.col(f"_f{i}.donor_id").alias(f"{c}_donor")]
+    wide = cells.groupBy(F.col("row_id").alias(f"{OWN}id")).agg(*[F.max(F.when(F.col("col") == c, F.struct("value", "donor_id"))).alias(f"{OWN}f{i}") for i, c in enumerate(names)])
+    same = lambda i, c: F.when(F.col(f"{OWN}m{i}"), F.col(f"{OWN}f{i}.value").cast(df.schema[c].dataType)).otherwise(F.col(c))
+    extra = lambda i, c: [(F.col(f"{OWN}m{i}") & F.col(f"{OWN}f{i}.value").isNotNull()).alias(f"{c}_filled"), F.col(f"{OWN}f{i}.donor_id").alias(f"{c}_donor")]
     flags = [x for i, c in enumerate(names) for x in extra(i, c)]
     out = [same(names.index(c), c).alias(c) if c in names else F.col(f"`{c}`") for c in df.columns]
     # Only incomplete rows are moved; complete ones keep their partition.
-    void = [F.lit(None).cast("struct<value:string,donor_id:bigint>").alias(f"_f{i}") for i in range(len(names))]
+    void = [F.lit(None).cast("struct<value:string,donor_id:bigint>").alias(f"{OWN}f{i}") for i in range(len(names))]
     whole = marked.filter(~some).select("*", *void).select(*out, *flags)
     holes = marked.filter(some)
-    holes = holes.join(wide, holes[row_id] == wide["_id"], "left").select(*out, *flags)
+    holes = holes.join(wide, holes[row_id] == wide[f"{OWN}id"], "left").select(*out, *flags)
     return HotDeck(cells, whole.unionByName(holes), targets)
 
 
 def _fill(donors: DataFrame, receivers: DataFrame, t: Target) -> DataFrame:
     """receivers with _value, _donor, _n (donors in the block) and _level (1 is the narrowest block; null without a donor)."""
-    done, rest = None, receivers
+    done, rest, base, held = None, receivers, None, []
     for level, block in enumerate(t.blocks, 1):
         keys = [f"_k{i}" for i in range(len(block))]
         keyed = lambda x: x.select("*", *[F.col(f).alias(k) for f, k in zip(block, keys, strict=True)]).filter(" and ".join(f"{k} is not null" for k in keys) or "true")  # noqa: B023, E731
         near = t.timed and level == 1
-        given = keyed(donors).select(*keys, "_id", F.col(t.col).alias("_v"), *([F.trunc("_day", "month").alias("_month"), F.col("_day").alias("_from")] if near else []))
+        if near:
+            one = [F.lit(1).cast("bigint").alias("_c"), F.col("_id").alias("_d")]
+            given = keyed(donors).select(*keys, F.col(t.col).alias("_v"), F.trunc("_day", "month").alias("_month"), F.col("_day").alias("_from"), *one)
+        else:
+            if base is None or not set(block) <= set(held):  # a wider block is summed from the narrower one's counts
+                counted = donors.groupBy(*block, F.col(t.col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_d"))
+                base, held = materialize(counted, "donors"), block
+            given = keyed(base).select(*keys, "_v", "_c", "_d")
         by = [*keys, "_month"] if near else keys
         tail = keyed(rest).select("_id", "_day", F.trunc("_day", "month").alias("_month"), *keys)
         counts = _asked(given, tail, by, ["_from", "_v"] if near else ["_v"])
@@ -115,7 +125,7 @@ def _asked(given: DataFrame, tail: DataFrame, by: list[str], values: list[str])
     Few asked blocks are broadcast and donors filtered before they are counted; otherwise donors are counted first, which leaves
     of a hot block only its distinct values, and then joined.
     """
-    count = lambda x: x.groupBy(*by, *values).agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_d"))
+    count = lambda x: x.groupBy(*by, *values).agg(F.sum("_c").alias("_c"), F.min("_d").alias("_d"))
     if not by:
         return count(given)
     asked = materialize(tail.select(*by).distinct(), "asked")
