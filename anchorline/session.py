@@ -6,8 +6,10 @@ import atexit
 import contextlib
 import contextvars
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +82,17 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", rows: in
     return df.join(F.broadcast(small) if n <= bound else small.hint("merge"), on, how)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they find it by themselves (PYTHONPATH, an installed package, or in local mode the working folder)."""
+    root, sc = Path(__file__).resolve().parent.parent, spark.sparkContext
+    local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd() if local else ""]
+    if root.name in ("site-packages", "dist-packages") or any(p and Path(p).resolve() == root for p in places) or getattr(sc, "_anchorline_sent", False):
+        return
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="anchorline-code-"), "anchorline_code"), "zip", root, "anchorline"))  # served by the driver
+    sc._anchorline_sent = True
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Condition under which all `keys` are equal, nulls included."""
     cond = F.lit(True)
