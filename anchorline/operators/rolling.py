@@ -10,11 +10,11 @@ from pyspark.sql.window import Window
 def first_delivery(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """One row per non-null `key`: `columns` of the row with the smallest `order`; rows with a null key stay as they are.
 
-    A key delivered very often is reduced before the shuffle, so it makes no hot task.
+    `order` must be unique within a key. A key delivered very often is reduced before the shuffle, so it makes no hot task.
     """
     rest = df.filter(F.col(key).isNull()).select(key, *columns)
-    pick = F.min_by(F.struct(*columns), F.col(order))
-    once = df.filter(F.col(key).isNotNull()).groupBy(key).agg(pick.alias("_r")).select(key, *[F.col("_r").getField(c).alias(c) for c in columns])
+    # One aggregate per column: with plain types they fit a hash aggregate, a struct would need a sort.
+    once = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in columns])
     return once.unionByName(rest)
 
 
