@@ -52,28 +52,22 @@ class ValueCounts:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or new_path(spark, "value-counts")
-        self._batches = 0
 
     def apply(self, df: DataFrame, table: str, columns: list[str] | None = None, load_col: str | None = "load_id", sign: int = 1) -> ValueCounts:
         """Add the counts of `df` (sign 1) or take them away again (sign -1), as one appended batch."""
         counts_of(df, table, columns, load_col, sign).write.mode("append").parquet(self.path)
-        self._batches += 1
         return self
 
     def state(self) -> DataFrame:
-        """The summed counts, without values whose count is back at zero."""
+        """The summed counts of all batches under the path, whoever wrote them, without values whose count is back at zero."""
         kept = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        if self._batches == 1:  # one batch holds every key once
-            return kept
         return kept.groupBy("table", "col", "load_id", "value").agg(F.sum("n").alias("n")).filter("n <> 0")
 
     def compact(self) -> ValueCounts:
         """The same counts in one batch of a new folder."""
         path = new_path(self.spark, "value-counts")
         self.state().write.parquet(path)
-        new = ValueCounts(self.spark, path)
-        new._batches = 1
-        return new
+        return ValueCounts(self.spark, path)
 
 
 def median_of_counts(counts: DataFrame, by: list[str], value: Column, n: str = "n", lower: bool = False) -> DataFrame:

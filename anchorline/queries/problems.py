@@ -44,9 +44,9 @@ def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = vc.ValueCounts(spark)
     for t in ("demo_sales", "demo_customers"):
         store.apply(read(spark, sf_dir, t), t)
-    store._batches = 1  # the two batches share no key
+    state = materialize(store.state(), "counts")
     numbers = {("demo_sales", c) for c in ("row_id", "TransactionID", "CustomerID", "Amount", "Quantity")} | {("demo_customers", c) for c in ("row_id", "CustomerID")}
-    return vc.profile_counts(store.state(), {EMAIL: vc.EMAIL, TIER: TIERS}, numbers)
+    return vc.profile_counts(state, {EMAIL: vc.EMAIL, TIER: TIERS}, numbers)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = read(spark, sf_dir, "demo_customers")
     store = vc.ValueCounts(spark)
     store.apply(customers, "demo_customers", ["Email", "Tier"]).apply(read(spark, sf_dir, "demo_sales"), "demo_sales", ["Amount"])
-    store._batches = 1  # the two batches share no key
-    state = store.state()
+    state = materialize(store.state(), "counts")
     out = vc.odd_loads(state, median_columns={"Amount"}, share_columns={"Email", "Tier"})
     found = out.select(F.concat_ws(".", "table", "col").alias("col"), F.lit("load").alias("kind"), F.col("load_id").cast("bigint").alias("ref")).distinct()
     for (table, col), rx in ((EMAIL, vc.EMAIL), (TIER, TIERS)):

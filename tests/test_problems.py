@@ -28,6 +28,16 @@ class TestValueCounts:
         assert {r.load_id for r in store.state().collect()} == {1}
         assert sorted(map(tuple, store.compact().state().collect()), key=str) == sorted(map(tuple, store.state().collect()), key=str)
 
+    def test_reopened_store_sums_what_others_wrote(self, spark, tmp_path):
+        a, b, path = self.frame(spark, [(1, "x", 1), (1, "y", 1)]), self.frame(spark, [(1, "x", 2), (2, "z", None)]), str(tmp_path / "store")
+        counts = lambda store: {(r.load_id, r.value): r.n for r in store.state().filter("col = 'v'").collect()}
+        vc.ValueCounts(spark, path).apply(a, "t")
+        again = vc.ValueCounts(spark, path).apply(b, "t")
+        assert counts(again) == {(1, "x"): 2, (1, "y"): 1, (2, "z"): 1}
+        assert {(r.col, r.load_id): r.distinct_values for r in vc.profile_counts(again.state()).collect()}["v", 1] == 2
+        undone = vc.ValueCounts(spark, path).apply(b, "t", sign=-1)
+        assert counts(undone) == counts(undone.compact()) == {(1, "x"): 1, (1, "y"): 1}
+
     def test_profile(self, spark):
         df = self.frame(spark, [(1, "aa", 1), (1, "aa", 5), (1, "b", None), (1, None, -3), (2, "b", 7), (2, "c", 7), (3, None, None)])
         state = vc.ValueCounts(spark).apply(df, "t").state()
