@@ -272,7 +272,8 @@ def _pairs(own: list[str]) -> Iterator[tuple[str, str]]:
 
 
 def block_keys(p: Parsed) -> set[str]:
-    """Keys under which near variants meet: one word exactly and the symmetric deletes of another's prefix."""
+    """Keys under which near variants meet: the symmetric deletes of the prefixes of two words, in either order, so that both may carry
+    a slip; those of one word with the given name, its initial or a sector word."""
     own = sorted(set(p.own))
     kind = "p" if p.kind == "person" else "o"
     keys: set[str] = set()
@@ -280,8 +281,13 @@ def block_keys(p: Parsed) -> set[str]:
         keys |= {f"{kind}1 {d}" for d in deletes(own[0], LONG_PREFIX)}
     elif len(own) == 1:
         keys.add(f"{kind}r {own[0]}")
+    near_forms = {x: deletes(x, PREFIX) for x in own}
     for x, y in _pairs(own):
-        keys |= {f"{kind}2 {x} {d}" for d in deletes(y, PREFIX)}
+        if x < y:
+            keys |= {f"{kind}2 {min(d, e)} {max(d, e)}" for d in near_forms[x] for e in near_forms[y]}
+    if kind == "p" and len(own) > 1 and (first := p.given[:1] or (p.initials or ("",))[0]):
+        for x in own:
+            keys |= {f"p4 {first} {d}" for d in deletes(x, LONG_PREFIX) if len(x) >= 4}
     for w in ([p.given] if p.given else []) + list(p.sectors):
         for x in own:
             keys |= {f"{kind}3 {w} {d}" for d in deletes(x, LONG_PREFIX) if len(x) >= 4}
@@ -327,14 +333,14 @@ def link_names(df: DataFrame, key: str, name: str) -> Linked:
     classes = materialize(spelled.select("cls", "parsed").distinct(), "classes")
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in (g.iloc[at : at + 1000] for g in frames for at in range(0, len(g), 1000)):
             rows = []
             for c, text in zip(f["cls"], f["parsed"], strict=True):
                 p = Parsed.of(text)
-                rows += [(k, c, text, 0) for k in block_keys(p)] + [(k, c, text, 1) for k in cut_keys(p, True)] + [(k, c, text, 2) for k in cut_keys(p, False)]
-            yield pd.DataFrame(rows, columns=["k", "cls", "parsed", "role"])
+                rows += [(k, c, 0) for k in block_keys(p)] + [(k, c, 1) for k in cut_keys(p, True)] + [(k, c, 2) for k in cut_keys(p, False)]
+            yield pd.DataFrame(rows, columns=["k", "cls", "role"])
 
-    keys = classes.mapInPandas(keyed, "k string, cls bigint, parsed string, role int").select(F.xxhash64("k").alias("k"), "cls", "role")
+    keys = classes.mapInPandas(keyed, "k string, cls bigint, role int").select(F.xxhash64("k").alias("k"), "cls", "role")
     keys = materialize(keys, "name-keys")
     # Keys of one class only lead nowhere.
     shared = keys.filter("role = 0").groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
