@@ -7,12 +7,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from anchorline.operators.value_counts import median_of_counts
 from anchorline.session import BROADCAST_ROWS, materialize
 
 #: What names of columns added on the way begin with; no input column may.
 OWN = "__hot_deck_"
+#: Days before and after a receiver from which the donors of a timed first block come.
+WINDOW = 31
 
 CELL = T.StructType([
     T.StructField("row_id", T.LongType()), T.StructField("col", T.StringType()), T.StructField("value", T.StringType()),
@@ -23,7 +26,7 @@ CELL = T.StructType([
 @dataclass
 class Target:
     """A column to fill: its blocks from narrow to wide (lists of observed features), whether it holds integers (weighted
-    median) or text (majority), and whether the first block is also split by month and its donors weighted by nearness."""
+    median) or text (majority), and whether donors are ranked by nearness in time."""
 
     col: str
     blocks: list[list[str]]
@@ -44,8 +47,9 @@ class HotDeck:
 def hot_deck(df: DataFrame, targets: list[Target], missing: dict[str, Column], row_id: str, day: str) -> HotDeck:
     """Fill the cells for which `missing[col]` holds.
 
-    Records are hashed into blocks by their observed features. In a timed first block (features and month) each
-    donor weighs 1 / (1 + days apart); wider blocks, tried for cells without a donor so far, weigh all their donors alike. Numbers get
+    Records are hashed into blocks by their observed features. In a timed first block each donor at most WINDOW days apart
+    weighs 1 / (1 + days apart); wider timed blocks, tried for cells without a donor so far, take the donors of the nearest day. Blocks that
+    are not timed, cells without a day and blocks without dated donors weigh all donors alike. Numbers get
     the weighted (lower) median of the donors, text their majority (ties fixed by a hash of the text), so a filled value always
     occurs in a donor, which is named. Donors enter as counts per (block, day, value): a hot block costs no more than
     its distinct days and values. A null feature puts a record in no block; a column without any donor stays null
@@ -84,39 +88,34 @@ def hot_deck(df: DataFrame, targets: list[Target], missing: dict[str, Column], r
 
 
 def _fill(donors: DataFrame, receivers: DataFrame, t: Target) -> DataFrame:
-    """receivers with _value, _donor, _n (donors in the block) and _level (1 is the narrowest block; null without a donor)."""
+    """receivers with _value, _donor, _n (donors that had a say) and _level (1 is the narrowest block; null without a donor)."""
     done, rest, base, held = None, receivers, None, []
-    for level, block in enumerate(t.blocks, 1):
+    passes = [(level, block, how) for level, block in enumerate(t.blocks, 1) for how in ((["near"] if level == 1 else ["nearest", "all"]) if t.timed else ["all"])]
+    for at, (level, block, how) in enumerate(passes, 1):
         keys = [f"_k{i}" for i in range(len(block))]
         keyed = lambda x: x.select("*", *[F.col(f).alias(k) for f, k in zip(block, keys, strict=True)]).filter(" and ".join(f"{k} is not null" for k in keys) or "true")  # noqa: B023, E731
-        near = t.timed and level == 1
-        if near:
-            one = [F.lit(1).cast("bigint").alias("_c"), F.col("_id").alias("_d")]
-            given = keyed(donors).select(*keys, F.col(t.col).alias("_v"), F.trunc("_day", "month").alias("_month"), F.col("_day").alias("_from"), *one)
-        else:
+        tail = keyed(rest).select("_id", "_day", *keys)
+        if how != "near" and (tail if how == "all" else tail.filter("_day is not null")).isEmpty():
+            continue
+        if how == "all":
             if base is None or not set(block) <= set(held):  # a wider block is summed from the narrower one's counts
                 counted = donors.groupBy(*block, F.col(t.col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_d"))
                 base, held = materialize(counted, "donors"), block
-            given = keyed(base).select(*keys, "_v", "_c", "_d")
-        by = [*keys, "_month"] if near else keys
-        tail = keyed(rest).select("_id", "_day", F.trunc("_day", "month").alias("_month"), *keys)
-        counts = _asked(given, tail, by, ["_from", "_v"] if near else ["_v"])
-        picked = _near(counts, tail, keys, t) if near else _all(counts, keys, t)
-        if near:
-            got = tail.join(picked, [*keys, "_month", "_day"])
-        elif keys:
-            got = tail.join(picked, keys)
+            picked = _all(_asked(keyed(base).select(*keys, "_v", "_c", "_d"), tail, keys, ["_v"]), keys, t)
+            got = tail.join(picked, keys) if keys else tail.crossJoin(F.broadcast(picked))  # one row
         else:
-            got = tail.crossJoin(F.broadcast(picked))  # one row
+            one = [F.lit(1).cast("bigint").alias("_c"), F.col("_id").alias("_d")]
+            given = keyed(donors).select(*keys, F.col(t.col).alias("_v"), F.col("_day").alias("_from"), *one).filter("_from is not null")
+            got = tail.join((_near if how == "near" else _nearest)(given, tail, keys, t), [*keys, "_day"])
         got = materialize(got.select("_id", "_value", "_donor", "_n", F.lit(level).alias("_level")), "filled")
         done = got if done is None else done.unionByName(got)
         rest = rest.join(got.select("_id"), "_id", "left_anti")
-        if level < len(t.blocks):
+        if at < len(passes):
             rest = materialize(rest, "unfilled")
             if rest.isEmpty():
                 return done
     none = rest.select("_id", F.lit(None).cast(donors.schema[t.col].dataType).alias("_value"), F.lit(None).cast("bigint").alias("_donor"), F.lit(0).cast("bigint").alias("_n"), F.lit(None).cast("int").alias("_level"))
-    return done.unionByName(none)
+    return none if done is None else done.unionByName(none)
 
 
 def _asked(given: DataFrame, tail: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -134,18 +133,43 @@ def _asked(given: DataFrame, tail: DataFrame, by: list[str], values: list[str])
     return count(given).join(asked, by, "left_semi")
 
 
-def _near(counts: DataFrame, tail: DataFrame, keys: list[str], t: Target) -> DataFrame:
-    """Per block, month and receiving day: the donors of that month, weighted by how near their day is."""
-    days = tail.select(*keys, "_month", "_day").filter("_day is not null").distinct()
-    # At most 31 asking days meet the (day, value) counts of one block and month.
-    pairs = counts.join(days, [*keys, "_month"]).withColumn("_gap", F.abs(F.date_diff("_from", "_day")).cast("bigint"))
-    by = [*keys, "_month", "_day"]
+def _near(given: DataFrame, tail: DataFrame, keys: list[str], t: Target) -> DataFrame:
+    """Per block and receiving day: the donors of at most WINDOW days before or after, weighted by how near their day is."""
+    days = tail.select(*keys, "_day").filter("_day is not null").distinct()
+    # A window of 31 days on both sides touches the day's month and its two neighbours.
+    months = F.array(*[F.add_months(F.trunc("_day", "month"), k) for k in (-1, 0, 1)])
+    days = days.select("*", F.explode(months).alias("_month"))
+    counts = _asked(given.withColumn("_month", F.trunc("_from", "month")), days, [*keys, "_month"], ["_from", "_v"])
+    pairs = counts.join(days, [*keys, "_month"]).withColumn("_gap", F.abs(F.date_diff("_from", "_day")).cast("bigint")).filter(F.col("_gap") <= WINDOW)
+    by = [*keys, "_day"]
     vals = pairs.groupBy(*by, "_v").agg(F.sum(F.col("_c") / (1 + F.col("_gap"))).alias("_w"), F.sum("_c").alias("_c"), F.min_by("_d", F.struct("_gap", "_d")).alias("_d"))
     return _choose(vals, by, t)
 
 
+def _nearest(given: DataFrame, tail: DataFrame, keys: list[str], t: Target) -> DataFrame:
+    """Per block and receiving day: the donors of the nearest day that has any, on both sides if equally near, however far away.
+
+    Only the distinct days of a block are ordered; donors are counted on the days that are nearest to some receiver.
+    """
+    by = [*keys, "_day"]
+    asks = tail.select(*by).filter("_day is not null").distinct()
+    days = _asked(given, asks, keys, ["_from"]).select(*keys, F.col("_from").alias("_day"), F.col("_from"))
+    line = asks.withColumns({"_from": F.lit(None).cast("date"), "_ask": F.lit(True)}).unionByName(days.withColumn("_ask", F.lit(False)))
+    line = line.groupBy(*by).agg(F.max("_from").alias("_from"), F.max("_ask").alias("_ask"))
+    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_day")
+    before = F.last("_from", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_from", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    sides = line.select(*by, "_ask", before.alias("_b"), after.alias("_a")).filter("_ask")
+    gap = F.least(F.date_diff("_day", "_b"), F.date_diff("_a", "_day"))
+    found = F.array_distinct(F.array(F.when(F.date_diff("_day", "_b") == gap, F.col("_b")), F.when(F.date_diff("_a", "_day") == gap, F.col("_a"))))
+    want = materialize(sides.select(*by, F.explode(found).alias("_from")).filter("_from is not null"), "nearest-days")
+    counts = _asked(given, want, [*keys, "_from"], ["_v"])
+    vals = counts.join(want, [*keys, "_from"]).groupBy(*by, "_v").agg(F.sum("_c").cast("double").alias("_w"), F.sum("_c").alias("_c"), F.min("_d").alias("_d"))
+    return _choose(vals, by, t)
+
+
 def _choose(vals: DataFrame, by: list[str], t: Target) -> DataFrame:
-    """The weighted lower median or majority of the values of each group; a group has at most a month's distinct values."""
+    """The weighted lower median or majority of the values of each group; a group has at most the distinct values of its window's days."""
     if not t.numeric:
         best = F.max_by(F.struct("_v", "_d"), F.struct("_w", F.lit(0) - F.xxhash64("_v")))
         return vals.groupBy(*by).agg(best.alias("_b"), F.sum("_c").alias("_n")).select(*by, F.col("_b._v").alias("_value"), F.col("_b._d").alias("_donor"), "_n")

@@ -201,6 +201,16 @@ class TestStandInsAndHotDeck:
         got = {r.row_id: (r.value, r.donor_id, r.level) for r in deck.cells.collect()}
         assert got == {4: ("10", 2, 1), 5: ("99", 3, 1), 6: ("10", 1, 2)}
 
+    def test_nearest_donor_across_months_and_in_wider_blocks(self, spark):
+        d = date(2024, 5, 31)
+        data = [(1, "A", 1, 50, date(2024, 5, 2)), (2, "A", 1, 10, d + timedelta(1)), (3, "A", 1, None, d)]  # the month before the nearest donor
+        data += [(4, "B", 1, 30, date(2024, 1, 1)), (5, "B", 1, 30, date(2024, 1, 2)), (6, "B", 1, 70, date(2024, 9, 1)), (7, "B", 1, None, date(2024, 7, 15))]
+        data += [(8, "B", 9, None, date(2024, 8, 31)), (9, "B", 9, None, None), (10, "C", 1, None, date(2024, 1, 2))]
+        df = spark.createDataFrame(data, "row_id bigint, Product string, Quantity bigint, Amount bigint, Date date")
+        deck = hot_deck(df, [Target("Amount", [["Product", "Quantity"], ["Product", "Quantity"], ["Product"], []])], {"Amount": F.col("Amount").isNull()}, "row_id", "Date")
+        got = {r.row_id: (r.value, r.donor_id, r.level) for r in deck.cells.collect()}
+        assert got == {3: ("10", 2, 1), 7: ("70", 6, 2), 8: ("70", 6, 3), 9: ("30", 4, 3), 10: ("30", 5, 4)}
+
     def test_edges(self, spark):
         schema = "row_id bigint, Product string, Category string, Amount bigint, Quantity bigint, Date date, load_id int"
         empty = spark.createDataFrame([], schema)
