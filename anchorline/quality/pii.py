@@ -62,12 +62,13 @@ class Pseudonyms(NamedTuple):
     mapping: DataFrame
 
 
-def scan_pii(df: DataFrame, patterns: dict | None = None, sample_size: int = 100, warn: bool = True, full_scan: bool = False) -> DataFrame:
+def scan_pii(df: DataFrame, patterns: dict | None = None, sample_size: int = 100, warn: bool = True, full_scan: bool = False, counts: bool = False) -> DataFrame:
     """Columns that may hold personal data: by name (high), or by the share of the first `sample_size` non-null texts that match (over half high, over
     a tenth medium, else low).
 
     `patterns` replaces the built-in kinds: {kind: (value pattern or None, name pattern or None, description, label)} or dicts with value_regex, name_regex, description. All
-    patterns of a column are counted in one aggregate. `full_scan` counts over all rows.
+    patterns of a column are counted in one aggregate. `full_scan` counts over all rows. `counts` adds Matches and Texts, the non-null texts that match and all
+    that were looked at (null for findings by name).
     """
     frame(df)
     kinds = {k: (p.get("value_regex"), p.get("name_regex"), p.get("description", k), k.upper()) if isinstance(p, dict) else p for k, p in (patterns or PATTERNS).items()}
@@ -75,7 +76,7 @@ def scan_pii(df: DataFrame, patterns: dict | None = None, sample_size: int = 100
     for f in df.schema:
         c = col(f.name)
         by_name = [k for k, p in kinds.items() if p[1] and re.search(p[1], f.name)]
-        rows += [(f.name, k, "column_name", "high", None, kinds[k][2]) for k in by_name]
+        rows += [(f.name, k, "column_name", "high", None, kinds[k][2], None, None) for k in by_name]
         values = [k for k, p in kinds.items() if p[0] and k not in by_name]
         if not is_text(f.dataType) or not values:
             continue
@@ -89,10 +90,11 @@ def scan_pii(df: DataFrame, patterns: dict | None = None, sample_size: int = 100
         for i, k in enumerate(values):
             if row[f"k{i}"]:
                 share = row[f"k{i}"] / row["n"]
-                rows.append((f.name, k, "value_regex", "high" if share > 0.5 else "medium" if share > 0.1 else "low", row[f"m{i}"], kinds[k][2]))
+                rows.append((f.name, k, "value_regex", "high" if share > 0.5 else "medium" if share > 0.1 else "low", row[f"m{i}"], kinds[k][2], row[f"k{i}"], row["n"]))
     if rows and warn:
         warnings.warn(f"possible personal data in: {', '.join(dict.fromkeys(r[0] for r in rows))}", PIIWarning, stacklevel=2)
-    return df.sparkSession.createDataFrame(rows, REPORT)
+    found = df.sparkSession.createDataFrame(rows, f"{REPORT}, Matches bigint, Texts bigint")
+    return found if counts else found.drop("Matches", "Texts")
 
 
 def mask_pii(df: DataFrame, report: DataFrame | None = None, strategy: str = "redact", redact_value: str = "[REDACTED]", hash_length: int = 12, min_confidence: str = "low", columns_to_mask: list[str] | None = None) -> DataFrame | Pseudonyms:

@@ -54,6 +54,19 @@ def pii_scan(t):
     return pii.scan_pii(df, warn=False).filter("Detection_Method = 'column_name'").select("Column", "PII_Type", "Detection_Method", "Confidence")
 
 
+_TEXTS = ("Name", "Region", "Tier", "Email", "Phone")
+_BY_NAME = {"CustomerID": ("internal_cust_id",), "Email": ("email",), "Phone": ("phone_us", "phone_intl")}
+_BY_VALUE = [f"""SELECT '{c}' AS "Column", '{k}' AS "PII_Type", 'value_regex' AS "Detection_Method", count(*) FILTER (regexp_matches({c}, '{p[0]}')) AS "Matches", count(*) AS "Texts" FROM demo_customers WHERE {c} IS NOT NULL"""
+             for c in _TEXTS for k, p in pii.PATTERNS.items() if p[0] and k not in _BY_NAME.get(c, ())]
+
+
+@query(f"""SELECT * FROM ({" UNION ALL ".join(_BY_VALUE)}) WHERE "Matches" > 0
+  UNION ALL {" UNION ALL ".join(f"SELECT '{c}', '{k}', 'column_name', NULL, NULL" for c, kinds in _BY_NAME.items() for k in kinds)}""")
+def pii_scan_full(t):
+    """Personal data by the names of columns and by the values of all rows, with the numbers of texts that match."""
+    return pii.scan_pii(t("demo_customers"), warn=False, full_scan=True, counts=True).select("Column", "PII_Type", "Detection_Method", "Matches", "Texts")
+
+
 @query("SELECT count(*) FILTER (regexp_matches(Email, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) * 1.0 / count(*) > 0.5 AS high FROM demo_customers WHERE Email IS NOT NULL")
 def pii_scan_values(t):
     """Whether a column of another name is found to hold addresses by its values, over all rows."""

@@ -123,3 +123,12 @@ class TestPII:
         assert pii.load_mapping(str(tmp_path / "e"), "key") == {"x": {}}
         with pytest.raises(ValueError):
             pii.load_mapping(str(tmp_path / "e"), "other")
+
+
+def test_full_scan_query_sees_values_after_the_first_hundred(spark, tmp_path):
+    from anchorline.queries import governance, reference  # noqa: F401 (governance registers its queries)
+
+    data = [(i, "Nina Vo" if i < 150 else "nina@vo.example", "Lakes", None) for i in range(160)]
+    spark.createDataFrame(data, "CustomerID bigint, Name string, Region string, Tier string").coalesce(1).write.parquet(str(tmp_path / "demo_customers.parquet"))
+    got = {(r.Column, r.PII_Type): (r.Matches, r.Texts) for r in reference.QUERIES["pii_scan_full"](spark, str(tmp_path)).collect()}
+    assert got == {("Name", "email"): (10, 160), ("CustomerID", "internal_cust_id"): (None, None)}
