@@ -72,7 +72,7 @@ def test_short_forms_are_learned(spark):
     r = random.Random(3)
     words = ["".join(r.choice(["bel", "dor", "kra", "lim", "nu", "pes", "vost", "gan"]) for _ in range(4)) for _ in range(60)]
     names = [f"{a}x {b}y Bakeries Ltd" for a, b in zip(words[::2], words[1::2], strict=True)]
-    names += [f"{words[0]}x {words[1]}y Bakry Ltd", f"{words[2]}x {words[3]}yl Bakry"]  # the first tells what Bakry is
+    names += [f"{words[0]}x {words[1]}y Baker Ltd", f"{words[2]}x {words[3]}yl Baker"]  # the first tells what Baker is
     assert {(0, 30), (1, 31)} == linked(spark, names)
 
 

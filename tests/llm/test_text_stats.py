@@ -66,3 +66,14 @@ def test_sql_and_prediction_agree(spark):
     found = rules.induce(np.array(data), kinds, names, ["a"], "rest", 1)
     got = [x.k for x in spark.createDataFrame(data, "u double, v double").select(F.expr(found.to_sql()).alias("k")).collect()]
     assert got == list(found.predict(np.array(data), names))
+
+
+def test_scraps_of_any_length_are_junk(spark):
+    r = random.Random(4)
+    scrap = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n)).strip() + "|"
+    once = "the old miller walks to the river in the evening and looks at the boats, and everyone in the house waits for him. "
+    texts = [scrap(180) * 6, scrap(900) * 4, "A heading\n" + scrap(300) * 5, scrap(40) * 9 + " and an end", "ha " * 12, (scrap(60) + "\n") * 7 + "page 4", once * 3, once]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x for x in text_stats.classify(df, "doc_id", "text", common(spark)).select("doc_id", "loop_share", "kind").collect()}
+    assert [got[i].loop_share > 0.8 and got[i].kind == "junk" for i in range(6)] == [True] * 6
+    assert got[6].loop_share == got[7].loop_share == 0 and got[7].kind == "prose"
