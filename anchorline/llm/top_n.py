@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from anchorline.session import join_small, materialize
+
 #: Rows gathered in a task before they are cut down to N per group, and kept rows beyond which a task hands on and starts again.
 CHUNK, KEEP = 200_000, 1_000_000
 
@@ -18,7 +20,7 @@ def top_n(df: DataFrame, groups: list[str], score: str, tie: str, n: int) -> Dat
     """The `n` rows of highest `score` in each group, of equal scores the smaller `tie` first: groups, score, tie, rank.
 
     Each task keeps, in one pass, only its own n best of every group; the worst of a full set is a lower bound of the
-    group's n-th best. The largest bound of each group removes the rows under it, and the survivors are ranked. What is
+    group's n-th best. The largest bound of each group is joined to the rows kept, removes those under it, and the survivors are ranked. What is
     shuffled is at most n rows per task and group, so a group with any share of the rows is no hot spot.
 
     Rows that repeat group, score and tie count once. Null groups are groups; rows with a null score or tie take no part.
@@ -60,10 +62,14 @@ def top_n(df: DataFrame, groups: list[str], score: str, tie: str, n: int) -> Dat
         if kept is not None and len(kept):
             yield out(kept)
 
-    best = slim.mapInArrow(local, schema)
-    whole = Window.partitionBy(*groups)
-    ranked = (
-        best.withColumn("_most", F.max("_bound").over(whole)).filter(F.col("_most").isNull() | (F.col(score) >= F.col("_most")))
-        .withColumn("rank", F.dense_rank().over(whole.orderBy(F.col(score).desc(), F.col(tie)))).filter(F.col("rank") <= n)
-    )
+    best = materialize(slim.mapInArrow(local, schema), "local-best")
+    bounds = best.filter("_bound is not null").groupBy(*groups).agg(F.max("_bound").alias("_most"))
+    bounds = materialize(bounds.select(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(groups)], "_most"), "bounds")
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}"))
+    # A row under the bound is under n rows of one task. Bounds few enough to be broadcast act before the survivors are shuffled.
+    kept = join_small(best, bounds, same, "left").filter(F.col("_most").isNull() | (F.col(score) >= F.col("_most"))).select(*groups, score, tie)
+    w = Window.partitionBy(*groups).orderBy(F.col(score).desc(), F.col(tie))
+    ranked = kept.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= n)
     return ranked.groupBy(*groups, score, tie).agg(F.min("rank").cast("bigint").alias("rank"))

@@ -34,3 +34,15 @@ def test_edges(spark):
     assert [tuple(x) for x in top_n(df, ["g"], "s", "t", 3).collect()] == [("a", 1, 1, 1)]
     with pytest.raises(ValueError):
         top_n(df, ["g"], "s", "t", 0)
+
+
+def test_bounds_of_many_small_tasks(spark):
+    """Every task holds a part of every group, null groups included; the bounds of all of them leave the same rows as a plain ranking."""
+    rows = [(None if i % 7 == 0 else f"g{i % 5}", (i * 37) % 101, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, s bigint, t bigint").repartition(9)
+    got = {(r.g, r.s, r.t, r["rank"]) for r in top_n(df, ["g"], "s", "t", 4).collect()}
+    want = set()
+    for g in {g for g, _, _ in rows}:
+        best = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2]))[:4]
+        want |= {(*x, i) for i, x in enumerate(best, 1)}
+    assert got == want
