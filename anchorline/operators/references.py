@@ -11,6 +11,8 @@ from anchorline.session import join_small, materialize
 
 #: Keys of one bitmap, as in Spark's bitmap functions.
 BITS = 32_768
+#: References of a key range and period from which a bitmap (4 KB) is smaller than their positions (2 bytes each), and those of a key range that one part holds.
+SPARSE, PART = 2_048, 1_000_000
 
 
 def dense_codes(keys: DataFrame, key: str) -> DataFrame:
@@ -35,9 +37,9 @@ def orphan_pairs(refs: DataFrame, parent: DataFrame, key: str, seen: str, arrive
     smallest counts) and `deleted` that of its deletion (the smallest counts; null: never). Kinds: `missing` (no such
     parent row), `late` (arrived after `seen`), `deleted` (deleted at or before `seen`); a record that is both late and deleted is late.
 
-    Keys become dense integers; each period and range of 32 768 keys has one bitmap of references. Against it stand the bitmaps of
-    the keys that had arrived and been deleted by that period: reference AND NOT parent, and the surviving bits are decoded.
-    Every task holds one key range: its bitmaps (4 KB a period) and its parents' times. Null keys and null `seen` refer to nothing;
+    Keys become dense integers; each period and range of 32 768 keys has one container of references, compressed by density: a bitmap of 4 KB, or
+    the positions themselves while they are fewer than SPARSE. Against it stand the keys that had arrived and been deleted by that period: reference
+    AND NOT parent, and the surviving bits are decoded. Every task holds one key range, its parents' times and at most about PART references. Null keys and null `seen` refer to nothing;
     a parent row without an arrival time never arrives (late). Empty tables give the obvious results.
     """
     own = refs.select(F.col(key).alias("k"), F.col(seen).alias("s")).filter("k is not null and s is not null").distinct()
@@ -47,11 +49,19 @@ def orphan_pairs(refs: DataFrame, parent: DataFrame, key: str, seen: str, arrive
     book = materialize(dense_codes(own.select("k").union(holds.select("k")), "k"), "codes")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     bucket = F.expr("code div 32768")
-    # bitmap_construct_agg sets one bit per position; rows of a key and period were made distinct before.
-    left = own.join(book, "k").groupBy(bucket.alias("bucket"), F.col("s")).agg(F.bitmap_construct_agg((F.col("code") % BITS).cast("bigint")).alias("bits"))
-    left = left.select("bucket", micros("s").alias("seen"), "bits")
+    coded = materialize(own.join(book, "k").select(bucket.alias("bucket"), F.col("s"), (F.col("code") % BITS).cast("int").alias("pos")), "coded")
+    sizes = materialize(coded.groupBy("bucket", "s").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    # A dense container is a bitmap (one bit per position), a sparse one the sorted positions: neither is ever larger than the bitmap.
+    dense = materialize(sizes.filter(F.col("n") >= SPARSE).select("bucket", "s"), "dense")
+    full = join_small(coded, dense, ["bucket", "s"], "left_semi").groupBy("bucket", "s").agg(F.bitmap_construct_agg(F.col("pos").cast("bigint")).alias("bits"))
+    thin = join_small(coded, dense, ["bucket", "s"], "left_anti").groupBy("bucket", "s").agg(F.array_sort(F.collect_list(F.col("pos").cast("smallint"))).alias("held"))
+    left = full.withColumn("held", F.lit(None).cast("array<smallint>")).unionByName(thin.withColumn("bits", F.lit(None).cast("binary")))
+    # A key range with very many references is worked on in parts of its periods, each beside the range's parents.
+    parts = materialize(sizes.groupBy("bucket").agg((F.sum("n").cast("bigint") / PART + 1).cast("int").alias("parts")), "parts")
+    left = join_small(left, parts, "bucket").select("bucket", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"), micros("s").alias("seen"), "bits", "held")
     right = holds.join(book, "k").select(bucket.alias("bucket"), (F.col("code") % BITS).cast("int").alias("pos"), micros("a").alias("a"), micros("x").alias("x"))
-    found = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(_and_not, "code bigint, seen bigint, kind string")
+    right = join_small(right, parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pos", "a", "x")
+    found = left.groupBy("bucket", "part").cogroup(right.groupBy("bucket", "part")).applyInPandas(_and_not, "code bigint, seen bigint, kind string")
     out = found.join(book, "code").select(F.col("k").alias(key), F.timestamp_micros("seen").cast(refs.schema[seen].dataType).alias(seen), "kind")
     return out
 
@@ -68,7 +78,14 @@ def _and_not(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     pack = lambda mask: np.packbits(mask, bitorder="little")
     ever = pack(there)
     out = []
-    for bucket, seen, bits in zip(refs["bucket"], refs["seen"], refs["bits"], strict=True):
+    for bucket, seen, bits, held in zip(refs["bucket"], refs["seen"], refs["bits"], refs["held"], strict=True):
+        if bits is None:  # a few positions: looked up one by one
+            pos = np.asarray(held, dtype=np.int64)
+            known, came, left = there[pos], arrive[pos] <= seen, gone[pos] <= seen
+            for kind, hit in (("missing", ~known), ("late", known & ~came), ("deleted", came & left)):
+                if hit.any():
+                    out.append(pd.DataFrame({"code": pos[hit] + int(bucket) * BITS, "seen": np.int64(seen), "kind": kind}))
+            continue
         ref = np.frombuffer(bits, dtype=np.uint8)
         here = pack(arrive <= seen)
         dead = pack(gone <= seen)

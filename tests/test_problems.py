@@ -264,6 +264,20 @@ class TestReferences:
         assert [tuple(r) for r in references.orphan_pairs(refs, none, "k", "at", "a", None).select("k", "kind").collect()] == [("x", "missing")]
         assert references.orphan_pairs(refs.limit(0), none, "k", "at", "a", None).count() == 0
 
+    @pytest.mark.parametrize(("keys", "periods", "part"), [(6000, 2, 1_000_000), (40, 3000, 700), (40, 3000, 1_000_000)])
+    def test_dense_and_sparse_containers_and_parts(self, spark, monkeypatch, keys, periods, part):
+        """Many keys of few periods, and a period of its own for every row of few keys, one of which holds most rows."""
+        monkeypatch.setattr(references, "PART", part)
+        r, t0 = random.Random(8), datetime(2024, 1, 1)
+        parents = [(k, t0 + timedelta(seconds=r.randrange(4000)), t0 + timedelta(seconds=r.randrange(8000)) if k % 3 == 0 else None) for k in range(0, keys, 2)]
+        refs = [(i, (i % keys) if i % 2 or periods < 3 else 4, t0 + timedelta(seconds=i % periods)) for i in range(keys * 2 if periods < 3 else periods)]
+        a = spark.createDataFrame(refs, "row_id bigint, k bigint, at timestamp_ntz").repartition(3)
+        b = spark.createDataFrame(parents, "k bigint, arrived timestamp_ntz, gone timestamp_ntz")
+        there = {k: (x, g) for k, x, g in parents}
+        kind = lambda k, at: "missing" if k not in there else "late" if there[k][0] > at else "deleted" if there[k][1] is not None and there[k][1] <= at else None
+        want = {(i, kind(k, at)) for i, k, at in refs if kind(k, at)}
+        assert {tuple(x) for x in references.orphan_rows(a, b, "k", "at", "arrived", "gone", ["row_id"]).collect()} == want
+
     def test_codes_are_dense_and_ordered(self, spark):
         keys = spark.createDataFrame([(f"{i:05d}",) for i in range(500)] * 2 + [(None,)], "k string")
         got = sorted((r.k, r.code) for r in references.dense_codes(keys, "k").collect())
