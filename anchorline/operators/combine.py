@@ -15,7 +15,7 @@ from anchorline.functions.checks import col, columns, frame, one_of
 from anchorline.functions.order import temp
 from anchorline.functions.types import is_text
 from anchorline.operators.groups import connected_components
-from anchorline.session import BROADCAST_ROWS, join_small, materialize
+from anchorline.session import BROADCAST_ROWS, is_small, join_small, materialize
 
 
 class Joined(NamedTuple):
@@ -159,13 +159,12 @@ def find_replace(df: DataFrame, find_df: DataFrame, find_col: str, replace_col:
 
 
 def append_fields(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every left row with every right row; clashing names get _left and _right. The right side is broadcast only up to BROADCAST_ROWS rows."""
+    """Every left row with every right row; clashing names get _left and _right. The right side is broadcast only if it is small in rows and bytes."""
     frame(left, "left"), frame(right, "right")
     both = set(left.columns) & set(right.columns)
     a = left.select(*[col(c).alias(c + "_left" if c in both else c) for c in left.columns])
     b = right.select(*[col(c).alias(c + "_right" if c in both else c) for c in right.columns])
-    small = b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return a.crossJoin(F.broadcast(b) if small else b)
+    return a.crossJoin(F.broadcast(b) if is_small(b) else b)
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, left_on: str, right_on: str, threshold: float = 0.6, score_column: str = "MatchScore", method: str = "ratio", block: tuple[str, str] | None = None) -> DataFrame:

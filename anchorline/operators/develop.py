@@ -101,12 +101,13 @@ def column_info(df: DataFrame) -> DataFrame:
 
 
 def dynamic_rename(df: DataFrame, rename_df: DataFrame, key_col: str = "OldName", new_name_col: str = "NewName", mode: str = "mapping") -> DataFrame:
-    """Rename columns by a lookup of old and new names, or put the lookup's first new name before or after every name. All at once: names may swap."""
+    """Rename columns by a lookup of old and new names, or put the lookup's first new name before or after every name. All at once: names may swap. Of several new names for one column the largest counts."""
     frame(df)
     one_of(mode, ("mapping", "prefix", "suffix"), "mode")
     if mode == "mapping":
         columns(rename_df, [key_col, new_name_col])
-        named = {r[0]: r[1] for r in rename_df.select(col(key_col), col(new_name_col)).filter(col(key_col).isin(*df.columns)).limit(10 * len(df.columns) + 1).collect()}
+        # At most one row a column: of a name given several times the largest new name counts.
+        named = {r[0]: r[1] for r in rename_df.filter(col(key_col).isin(*df.columns)).groupBy(col(key_col)).agg(F.max(col(new_name_col))).collect()}
         return df.toDF(*[named.get(c) or c for c in df.columns])
     columns(rename_df, new_name_col)
     first = rename_df.select(col(new_name_col)).first()

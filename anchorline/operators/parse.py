@@ -19,6 +19,10 @@ from anchorline.functions.types import is_text
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "dd.MM.yyyy", "dd-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyyMMdd")
 
 
+#: Columns that `xml_parse` makes of names it finds, at most.
+MOST_FIELDS = 10_000
+
+
 def date_time(df: DataFrame, column: str, input_fmt: str | None = None, output_fmt: str | None = None, errors: str = "raise") -> DataFrame:
     """Read text as a timestamp (strftime or Java format, else common formats) in place, and write it back as text if `output_fmt` is given.
 
@@ -147,7 +151,7 @@ def _children(el: ET.Element | None) -> dict[str, str] | None:
 def xml_parse(df: DataFrame, column: str, xpath: str, output_column: str = "ParsedXML", return_child_values: bool = False, return_outer_xml: bool = False, fields: list[str] | None = None) -> DataFrame:
     """Text of the first element that `xpath` finds, or its outer XML, or its attributes and children as `<output>_<name>`.
 
-    Text that is no XML, or declares a document type or entities, gives nulls. Children's names are found in one pass over the data, or given as
+    Text that is no XML, or declares a document type or entities, gives nulls. Children's names are found in one pass over the data (more than MOST_FIELDS raise), or given as
     `fields`. Parsing runs in Arrow batches on the XML column only.
     """
     columns(df, column)
@@ -168,7 +172,9 @@ def xml_parse(df: DataFrame, column: str, xpath: str, output_column: str = "Pars
     item = temp("xml")
     parsed = df.withColumn(item, F.pandas_udf(flat, "map<string,string>")(c))
     if fields is None:
-        fields = sorted(r[0] for r in parsed.select(F.explode(F.map_keys(item))).distinct().limit(10_000).collect())
+        fields = sorted(r[0] for r in parsed.select(F.explode(F.map_keys(item))).distinct().limit(MOST_FIELDS + 1).collect())
+        if len(fields) > MOST_FIELDS:
+            raise ValueError(f"more than {MOST_FIELDS} names of attributes and children: give the ones wanted as fields")
     return parsed.select(*[col(x) for x in df.columns], *[F.col(item).getItem(f).alias(f"{output_column}_{f}") for f in fields])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorline.functions.checks import col, columns, frame
+from anchorline.functions.patterns import java_pattern
 from anchorline.functions.types import group_of, is_number, is_text, spark_type
 from anchorline.session import get_spark
 
@@ -64,7 +65,7 @@ def _rule(c: Column, rule: str, bound: object, t: T.DataType) -> Column:
         case "allowed_values":
             return ~c.isin(list(bound)) if bound else c.isNotNull()
         case "value_regex":
-            return ~text.rlike(rf"\A(?:{bound})\z")
+            return ~text.rlike(java_pattern(rf"\A(?:{bound})\Z"))
         case "min_length":
             return F.length(text) < F.lit(bound)
         case "max_length":

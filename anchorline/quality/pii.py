@@ -42,7 +42,7 @@ PATTERNS: dict[str, tuple[str | None, str, str, str]] = {
     "passport": (r"\b[A-Z]{1,2}\d{6,9}\b", r"(?i)(passport[\-_\s]?num|passport[\-_\s]?no|passport[\-_\s]?id)", "Passport number", "PASSPORT"),
     "name_field": (None, r"(?i)^(first[\-_\s]?name|last[\-_\s]?name|full[\-_\s]?name|surname|given[\-_\s]?name|family[\-_\s]?name)$", "Person name field", "PERSON"),
     "address": (None, r"(?i)(street[\-_\s]?addr|address[\-_\s]?line|postal[\-_\s]?addr|home[\-_\s]?addr|mailing[\-_\s]?addr)", "Physical address", "ADDRESS"),
-    "routing_number": (r"\b0[0-9]{2}[0-9]{6}\b|\b[123678][0-9]{7}\b", r"(?i)(routing[\-_\s]?num|aba[\-_\s]?routing|rtn|transit[\-_\s]?num)", "US ABA bank routing number", "ROUTING"),
+    "routing_number": (r"\b0[0-9]{2}[0-9]{6}\b|\b[123678][0-9]{8}\b", r"(?i)(routing[\-_\s]?num|aba[\-_\s]?routing|rtn|transit[\-_\s]?num)", "US ABA bank routing number", "ROUTING"),
     "account_number": (r"\b\d{6,17}\b", r"(?i)(acct[\-_\s]?num|account[\-_\s]?number|bank[\-_\s]?account|deposit[\-_\s]?acct|checking[\-_\s]?acct|savings[\-_\s]?acct)", "Bank account number", "ACCOUNT"),
     "swift_bic": (r"\b[A-Z]{4}[A-Z]{2}[A-Z2-9][A-NP-Z0-9]([A-Z0-9]{3})?\b", r"(?i)(swift|bic[\-_\s]?code|swift[\-_\s]?code|bank[\-_\s]?id[\-_\s]?code)", "SWIFT/BIC bank identifier code", "SWIFT"),
     "pan_masked": (r"\b[*Xx\d]{4}[\-\s]?[*Xx\d]{4}[\-\s]?[*Xx\d]{4}[\-\s]?\d{4}\b", r"(?i)(masked[\-_\s]?pan|pan[\-_\s]?mask|card[\-_\s]?mask|last[\-_\s]?4)", "Masked payment card number (PCI-DSS)", "PAN"),

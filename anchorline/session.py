@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Bytes up to which a side may be broadcast: the optimizer's estimate of it, which for a written table is the size of its files.
+BROADCAST_BYTES = 64 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -73,13 +75,28 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of `df`; very large where it knows nothing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def is_small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> bool:
+    """Whether `df` may be broadcast: at most `bound` rows (counted unless given) whose text and binary cells hold at most BROADCAST_BYTES."""
+    wide = [F.sum(F.octet_length(F.col(f"`{f.name}`"))) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    flat = all(f.dataType.typeName() not in ("array", "map", "struct", "variant") for f in df.schema)
+    if rows is not None and (rows > bound or (flat and not wide)):
+        return rows <= bound
+    few = df.limit(bound + 1) if rows is None else df
+    n, *held = few.agg(F.count(F.lit(1)), *wide).first()
+    return n <= bound and sum(h or 0 for h in held) <= BROADCAST_BYTES and (flat or estimated_bytes(df) <= BROADCAST_BYTES)
+
+
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with `small` broadcast only if it holds at most `bound` rows; otherwise a shuffle join that AQE splits when skewed.
+    """Join with `small` broadcast only if it is small in rows and bytes (see `is_small`); otherwise a shuffle join that AQE splits when skewed.
 
     `rows` is the known row count of `small`; without it the side is counted, so give a materialized one.
     """
-    n = small.limit(bound + 1).count() if rows is None else rows
-    return df.join(F.broadcast(small) if n <= bound else small.hint("merge"), on, how)
+    return df.join(F.broadcast(small) if is_small(small, rows, bound) else small.hint("merge"), on, how)
 
 
 def ship(spark: SparkSession) -> None:

@@ -105,9 +105,8 @@ def output_data(df: DataFrame, path: str, format: str | None = None, mode: str =
         os.makedirs(parent, exist_ok=True)
     options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}
     if fmt in ("feather", "html", "excel", "stata"):
-        pdf = df.limit(1_048_577).toPandas()
-        if len(pdf) > 1_048_576:
-            raise ValueError(f"{fmt} is written by the driver and may hold at most 1048576 rows")
+        _check_driver_size(df, fmt)
+        pdf = df.toPandas()
         {"feather": pdf.to_feather, "html": lambda p: pdf.to_html(p, index=False), "excel": lambda p: pdf.to_excel(p, index=False), "stata": lambda p: pdf.to_stata(p, write_index=False)}[fmt](path)
         return
     one = single_file and local and not partition_by and os.path.splitext(str(path))[1].lower() in SPARK_FORMATS
@@ -138,6 +137,17 @@ def output_data(df: DataFrame, path: str, format: str | None = None, mode: str =
             _remove(df.sparkSession, to)
 
 
+def _check_driver_size(df: DataFrame, fmt: str) -> None:
+    """Raise before the driver collects more than MOST_DRIVER_BYTES, or more rows than a sheet holds."""
+    cells = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) + 8 for f in df.schema]
+    size = F.lit(0)
+    for c in cells:
+        size = size + c
+    rows, held = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    if rows > 1_048_576 or (held or 0) > MOST_DRIVER_BYTES:
+        raise ValueError(f"{fmt} is written by the driver and may hold at most 1048576 rows and {MOST_DRIVER_BYTES} bytes, not {rows} and {held}")
+
+
 def _format_out(path: str, fmt: str | None) -> str:
     ext = os.path.splitext(str(path))[1].lower()
     if fmt is None and ext == "":
