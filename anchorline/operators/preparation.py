@@ -227,13 +227,16 @@ def unique(df: DataFrame, columns: str | list[str] | None = None, ignore_case: b
 
 
 def sample(df: DataFrame, n: int | None = None, pct: float | None = None, random: bool = False, position: str = "first", random_state: int | None = None, order_by: str | list[str] | None = None) -> DataFrame:
-    """The first, last or random `n` rows, or `pct` (share of the rows, at least one row)."""
+    """The first, last or random `n` rows, or `pct` (share of the rows, at least one row).
+
+    A share is cut by dense numbers, so no task holds all rows of it; `n` rows are few and come from one.
+    """
     frame(df)
     if (n is None) == (pct is None):
         raise ValueError("give either n or pct")
     one_of(position, ("first", "last"), "position")
     if pct is not None:
-        n = max(1, int(df.count() * pct))
+        return _share(df, pct, random, position, random_state, order_by)
     if random:
         key = F.rand(random_state if random_state is not None else None)
         return df.orderBy(key).limit(n)
@@ -246,6 +249,16 @@ def sample(df: DataFrame, n: int | None = None, pct: float | None = None, random
     return df.withColumn(pos, F.monotonically_increasing_id()).orderBy(F.col(pos).desc()).limit(n).orderBy(pos).drop(pos)
 
 
+def _share(df: DataFrame, pct: float, random: bool, position: str, random_state: int | None, order_by: str | list[str] | None) -> DataFrame:
+    key, pos = temp("key"), temp("pos")
+    by = key if random else order_by
+    laid = materialize(with_position(df.withColumn(key, F.rand(random_state)) if random else df, pos, 0, by), "sample")
+    total = laid.count()
+    n = max(1, int(total * pct))
+    part = laid.filter(F.col(pos) < n if random or position == "first" else F.col(pos) >= total - n)
+    return part.select(*[col(c) for c in df.columns])
+
+
 def _reverse(order_by: str | list[str]) -> list[Column]:
     names = [order_by] if isinstance(order_by, str) else order_by
     return [col(n).desc_nulls_first() for n in names]

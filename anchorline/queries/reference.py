@@ -61,7 +61,7 @@ def input_data(t):
     return t("demo_customers")
 
 
-@query(None)
+@query("SELECT format, (SELECT count(*) FROM orders) AS rows FROM (VALUES ('csv'), ('tsv'), ('jsonl'), ('parquet'), ('orc')) v(format)")
 def output_data(t):
     """Orders written as csv, tsv, json, parquet and orc and read again: rows by format."""
     from anchorline.session import new_path
@@ -90,6 +90,24 @@ def directory(t):
     return files.directory(folder if not folder.endswith(".parquet") else os.path.dirname(folder), "*")
 
 
+@query("SELECT * FROM (VALUES ('nations.parquet', 'nations', true), ('regions.csv', 'regions', true)) v(\"FileName\", \"ShortFileName\", filled)")
+def directory_written(t):
+    """The files that two sinks wrote, by the names that the listing gives and whether they hold bytes."""
+    from anchorline.session import new_path
+
+    folder = new_path(get_spark(), "listed").replace("file://", "")
+    files.output_data(t("nation"), f"{folder}/nations.parquet")
+    files.output_data(t("region"), f"{folder}/regions.csv")
+    return files.directory(folder, "*").select("FileName", "ShortFileName", (F.col("Size") > 0).alias("filled"))
+
+
+@query("SELECT true AS given, true AS near")
+def date_time_now_given(t):
+    """The present moment is given, and is that of the session's clock."""
+    now = F.col("DateTime").cast("timestamp")
+    return files.date_time_now().select(now.isNotNull().alias("given"), (F.abs(F.unix_timestamp(now) - F.unix_timestamp(F.current_timestamp())) < 86_400).alias("near"))
+
+
 @query(None)
 def date_time_now(t):
     return files.date_time_now()
@@ -398,6 +416,40 @@ def fuzzy_match_levenshtein(t):
     return combine.fuzzy_match(n, n, "n_name", "n_name", 0.5, method="levenshtein")
 
 
+#: Plain letters only: a distance in SQL counts bytes.
+_NAMES = "SELECT DISTINCT Name, lower(substr(Name, 1, 2)) AS k FROM (SELECT regexp_replace(Name, '[^ -~]', '', 'g') AS Name FROM demo_customers)"
+
+
+@query(f"""SELECT a.Name AS "Name_left", a.k AS "k_left", b.Name AS "Name_right", b.k AS "k_right", round(1 - levenshtein(a.Name, b.Name) / greatest(length(a.Name), length(b.Name)), 4) AS "MatchScore"
+  FROM ({_NAMES}) a JOIN ({_NAMES}) b ON a.k = b.k WHERE length(a.Name) > 0 AND 1 - levenshtein(a.Name, b.Name) / greatest(length(a.Name), length(b.Name)) >= 0.8""")
+def fuzzy_match_blocked(t):
+    """All customers' names against all that begin with the same two letters."""
+    n = t("demo_customers").select(F.regexp_replace("Name", "[^ -~]", "").alias("Name")).filter("length(Name) > 0").select("Name", F.lower(F.substring("Name", 1, 2)).alias("k")).distinct()
+    return combine.fuzzy_match(n, n, "Name", "Name", 0.8, method="levenshtein", block=("k", "k"))
+
+
+@query("SELECT Region, max(Revenue) - min(Revenue) AS \"Spread_Revenue\" FROM sales_plan WHERE Region IS NOT NULL GROUP BY 1")
+def summarize_callable(t):
+    """An aggregate given as a function of the column."""
+
+    def spread(c):
+        return F.max(c) - F.min(c)
+
+    return transform.summarize(t("sales_plan"), "Region", {"Revenue": spread})
+
+
+@query("SELECT * FROM lineitem WHERE l_quantity > 45")
+def filter_pandas(t):
+    """A filter whose condition is a function of a pandas frame."""
+    return prep.filter(t("lineitem"), lambda f: f["l_quantity"] > 45, udf=True).true
+
+
+@query("SELECT row_id, Amount, CAST(Amount * 2 + 1 AS DOUBLE) AS twice FROM demo_sales")
+def formula_pandas(t):
+    """A formula that is a function of a pandas frame."""
+    return prep.formula(t("demo_sales").select("row_id", "Amount"), "twice", lambda f: f["Amount"] * 2.0 + 1.0, udf=True, returns="double")
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'u' || user_id AS a, 'd' || (user_id // 3) AS b FROM events),
   n AS (SELECT a AS k FROM e UNION SELECT b FROM e), g AS (SELECT k, 'd' || (CAST(substr(k, 2) AS BIGINT) // CASE WHEN k LIKE 'u%' THEN 3 ELSE 1 END) AS grp FROM n)
   SELECT min(k) OVER (PARTITION BY grp) AS "Group", k AS "Key" FROM g""")

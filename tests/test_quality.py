@@ -132,3 +132,11 @@ def test_full_scan_query_sees_values_after_the_first_hundred(spark, tmp_path):
     spark.createDataFrame(data, "CustomerID bigint, Name string, Region string, Tier string").coalesce(1).write.parquet(str(tmp_path / "demo_customers.parquet"))
     got = {(r.Column, r.PII_Type): (r.Matches, r.Texts) for r in reference.QUERIES["pii_scan_full"](spark, str(tmp_path)).collect()}
     assert got == {("Name", "email"): (10, 160), ("CustomerID", "internal_cust_id"): (None, None)}
+
+
+def test_python_patterns_in_contracts(spark):
+    from anchorline.quality.contracts import violations
+
+    df = spark.createDataFrame([("abc",), ("ab1",)], "c string")
+    assert len(violations(df, {"columns": {"c": {"value_regex": "(?P<x>[a-z]+)"}}})) == 1
+    assert violations(df, {"columns": {"c": {"value_regex": r"(?P<x>\w)\w+"}}}) == []

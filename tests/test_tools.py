@@ -387,3 +387,46 @@ class TestInOut:
             df = spark.range(3)
             assert files.browse(df) is df and "3 rows" in capsys.readouterr().out
             assert files.date_time_now().count() == 1
+
+
+def test_share_of_rows_is_cut_by_numbers(spark):
+    from anchorline.operators.preparation import sample
+
+    df = spark.range(1000).repartition(5).withColumn("v", F.col("id") % 10)
+    got = sample(df, pct=0.25, order_by="id")
+    assert [r.id for r in got.orderBy("id").collect()] == list(range(250)) and got.columns == df.columns
+    assert {r.id for r in sample(df, pct=0.01, position="last", order_by="id").collect()} == set(range(990, 1000))
+    drawn = {r.id for r in sample(df, pct=0.5, random=True, random_state=3).collect()}
+    assert len(drawn) == 500 and drawn != set(range(500))
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sample(df.limit(0), pct=0.5).count() == 0
+
+
+def test_broadcasts_are_checked_by_bytes(spark, monkeypatch):
+    from anchorline import session
+
+    small = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "k bigint, t string")
+    assert session.is_small(small) and not session.is_small(small, bound=49)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 4_000)
+    assert not session.is_small(small) and not session.is_small(small, rows=50) and session.is_small(small.select("k"))
+
+
+def test_driver_writes_are_checked_by_bytes(spark, monkeypatch, tmp_path):
+    from anchorline.sources import files
+
+    monkeypatch.setattr(files, "MOST_DRIVER_BYTES", 10_000)
+    wide = spark.createDataFrame([("x" * 6_000,)] * 2, "t string")
+    with pytest.raises(ValueError, match="bytes"):
+        files.output_data(wide, str(tmp_path / "a.html"))
+    files.output_data(wide.limit(1), str(tmp_path / "a.html"))
+
+
+def test_nothing_is_cut_silently(spark, monkeypatch):
+    from anchorline.operators import develop, parse
+
+    xml = spark.createDataFrame([("<a><b>1</b><c>2</c></a>",)], "x string")
+    monkeypatch.setattr(parse, "MOST_FIELDS", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        parse.xml_parse(xml, "x", ".", return_child_values=True)
+    names = spark.createDataFrame([("x", f"n{i:03d}") for i in range(100)] + [("y", "z")], "OldName string, NewName string")
+    assert develop.dynamic_rename(spark.createDataFrame([(1, 2)], "x int, y int"), names).columns == ["n099", "z"]
