@@ -482,7 +482,8 @@ def neighbours(words: DataFrame) -> DataFrame:
     # A few words become very many keys: they are spread over all cores first.
     words = words.repartition(words.sparkSession.sparkContext.defaultParallelism, "word")
     keys = words.select("word").mapInArrow(spread, "word string, ks array<string>").select("word", F.explode("ks").alias("k")).select("word", F.xxhash64("k").alias("k"))
-    met = keys.join(keys.select("k", F.col("word").alias("other")), "k").filter("word < other").select("word", "other").distinct()
+    # A few KB of words become many MB of keys and beginnings, which the optimizer's estimate does not see: neither side may be broadcast.
+    met = keys.join(keys.select("k", F.col("word").alias("other")).hint("merge"), "k").filter("word < other").select("word", "other").distinct()
     far = F.levenshtein("word", "other", 2)
     letters = lambda c: F.array_sort(F.split(c, ""))
     long = (F.least(F.length("word"), F.length("other")) >= 8) & (F.substring("word", 1, 1) == F.substring("other", 1, 1))
@@ -490,7 +491,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     # Of a word's beginnings those are looked up that are words themselves; beyond STEM letters the whole is compared.
     stems = words.filter(F.length("word") > 2).select(F.col("word").alias("other"), F.explode(F.transform(F.sequence(F.lit(2), F.least(F.length("word") - 1, F.lit(STEM))), lambda n: F.substr("word", F.lit(1), n))).alias("stem"))
     short = words.filter("cut or length(word) >= 4").select("word", F.substring("word", 1, STEM).alias("stem"))
-    begun = stems.join(short, "stem").filter(F.startswith("other", "word") & (F.col("word") != F.col("other"))).select("word", "other")
+    begun = stems.join(short.hint("merge"), "stem").filter(F.startswith("other", "word") & (F.col("word") != F.col("other"))).select("word", "other")
     pairs = slips.union(begun).distinct()
     return pairs.union(pairs.select("other", "word")).distinct().union(words.select("word", F.col("word").alias("other")))
 
@@ -592,7 +593,7 @@ def link_names(df: DataFrame, key: str, name: str) -> Linked:
     near_words = materialize(neighbours(words.select("word", "cut")), "neighbours")
     size = near_words.join(words.select(F.col("word").alias("other"), "n"), "other").groupBy("word").agg(F.sum("n").alias("n"))
     ask = idx.select("cls", "tag", F.explode("asked").alias("word")).join(size, "word").groupBy("cls", "tag").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    met = ask.join(near_words, "word").select("cls", "tag", F.col("other").alias("word")).join(found.select("tag", "word", F.col("cls").alias("other")), ["tag", "word"]).filter("cls <> other")
+    met = ask.join(near_words, "word").select("cls", "tag", F.col("other").alias("word")).join(found.select("tag", "word", F.col("cls").alias("other")).hint("merge"), ["tag", "word"]).filter("cls <> other")
     # One slurred word: classes that agree in all the rest meet under the forms of that word.
     around = idx.select("cls", F.explode("around").alias("x")).select("cls", F.xxhash64(F.substring_index("x", "\x1f", 1)).alias("c"), F.substring_index("x", "\x1f", -1).alias("word"))
     around = around.join(around.groupBy("c").agg(F.min("word").alias("lo"), F.max("word").alias("hi")).filter("lo <> hi").select("c"), "c", "left_semi")

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from anchorline.llm.names import SEED, Trades, answers, asks, link_names, near, near_long, parse, same
+from anchorline.llm.names import SEED, Trades, answers, asks, link_names, near, near_long, neighbours, parse, same
 
 SAME = [
     ("Michael T. Plithobel Venlobel", "Plithobel Venlobel, Miek T."), ("Charles L. Merkal Wikwen", "Chuck Merkal-Wikwen"), ("Benjamin T. Tokes Yorjar", "B T. TOKES YORJAR"), ("Dr. Susannah Kestev Vasjol", "Susie KESTÉV VASJOL"),
@@ -76,6 +76,14 @@ def test_short_forms_are_learned(spark):
     assert {(0, 30), (1, 31)} == linked(spark, names)
 
 
+def test_keys_of_words_are_not_broadcast(spark):
+    """Few words have very many keys: however small their table, neither keys nor beginnings go to the driver."""
+    words = spark.createDataFrame([("merkal", False), ("merkl", False), ("merkalson", False)], "word string, cut boolean")
+    found = neighbours(words)
+    assert {(r.word, r.other) for r in found.collect() if r.word < r.other} == {("merkal", "merkl"), ("merkal", "merkalson")}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_trade_words():
     t = Trades([*SEED, "publishers", "electric"])
     assert t.words["publishers"] == "publishing" and t.words["electric"] == "electrical"
