@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from anchorline.operators.value_counts import median_of_counts
-from anchorline.session import BROADCAST_ROWS, materialize
+from anchorline.session import is_small, join_small, materialize
 
 #: What names of columns added on the way begin with; no input column may.
 OWN = "__hot_deck_"
@@ -67,9 +67,12 @@ def hot_deck(df: DataFrame, targets: list[Target], missing: dict[str, Column], r
     for i in range(len(names)):
         some = some | F.col(f"{OWN}m{i}")
     receivers = materialize(slim.filter(some), "receivers")
+    whole = df.schema[row_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    low, high = df.agg(F.min(row_id), F.max(row_id)).first() if whole else (None, None)
+    low = low if low is not None and high - low < 1 << 57 else None
     cells = None
     for i, t in enumerate(targets):
-        own = _fill(slim.filter(F.col(t.col).isNotNull()), receivers.filter(f"{OWN}m{i}"), t).select(
+        own = _fill(slim.filter(F.col(t.col).isNotNull()), receivers.filter(f"{OWN}m{i}"), t, low).select(
             F.col("_id").cast("bigint").alias("row_id"), F.lit(t.col).alias("col"), F.col("_value").cast("string").alias("value"), F.col("_donor").cast("bigint").alias("donor_id"), F.col("_n").cast("bigint").alias("donors"), F.col("_level").alias("level")
         )
         cells = own if cells is None else cells.unionByName(own)
@@ -87,85 +90,133 @@ def hot_deck(df: DataFrame, targets: list[Target], missing: dict[str, Column], r
     return HotDeck(cells, whole.unionByName(holes), targets)
 
 
-def _fill(donors: DataFrame, receivers: DataFrame, t: Target) -> DataFrame:
-    """receivers with _value, _donor, _n (donors that had a say) and _level (1 is the narrowest block; null without a donor)."""
-    done, rest, base, held = None, receivers, None, []
-    passes = [(level, block, how) for level, block in enumerate(t.blocks, 1) for how in ((["near"] if level == 1 else ["nearest", "all"]) if t.timed else ["all"])]
-    for at, (level, block, how) in enumerate(passes, 1):
-        keys = [f"_k{i}" for i in range(len(block))]
-        keyed = lambda x: x.select("*", *[F.col(f).alias(k) for f, k in zip(block, keys, strict=True)]).filter(" and ".join(f"{k} is not null" for k in keys) or "true")  # noqa: B023, E731
-        tail = keyed(rest).select("_id", "_day", *keys)
-        if how != "near" and (tail if how == "all" else tail.filter("_day is not null")).isEmpty():
-            continue
-        if how == "all":
-            if base is None or not set(block) <= set(held):  # a wider block is summed from the narrower one's counts
-                counted = donors.groupBy(*block, F.col(t.col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_d"))
-                base, held = materialize(counted, "donors"), block
-            picked = _all(_asked(keyed(base).select(*keys, "_v", "_c", "_d"), tail, keys, ["_v"]), keys, t)
-            got = tail.join(picked, keys) if keys else tail.crossJoin(F.broadcast(picked))  # one row
-        else:
-            one = [F.lit(1).cast("bigint").alias("_c"), F.col("_id").alias("_d")]
-            given = keyed(donors).select(*keys, F.col(t.col).alias("_v"), F.col("_day").alias("_from"), *one).filter("_from is not null")
-            got = tail.join((_near if how == "near" else _nearest)(given, tail, keys, t), [*keys, "_day"])
-        got = materialize(got.select("_id", "_value", "_donor", "_n", F.lit(level).alias("_level")), "filled")
-        done = got if done is None else done.unionByName(got)
+def _fill(donors: DataFrame, receivers: DataFrame, t: Target, low: int | None) -> DataFrame:
+    """receivers with _value, _donor, _n (donors that had a say) and _level (1 is the narrowest block; null without a donor). `low`: see `_near`."""
+    done, rest, blocks = [], receivers, list(enumerate(t.blocks, 1))
+    # The blocks of timed targets widen all at once, for the cells that the first one leaves; others are few passes over counts.
+    steps = [blocks[:1], *([blocks[1:]] if blocks[1:] else [])] if t.timed else [[b] for b in blocks]
+    for at, levels in enumerate(steps):
+        got = _near(donors, rest, levels[0][1], t, low) if t.timed and not at else _widen(donors, rest, levels, t)
+        got = materialize(got.select("_id", "_value", "_donor", "_n", "_level"), "filled")
+        done.append(got)
         rest = rest.join(got.select("_id"), "_id", "left_anti")
-        if at < len(passes):
+        if at < len(steps) - 1:
             rest = materialize(rest, "unfilled")
             if rest.isEmpty():
-                return done
-    none = rest.select("_id", F.lit(None).cast(donors.schema[t.col].dataType).alias("_value"), F.lit(None).cast("bigint").alias("_donor"), F.lit(0).cast("bigint").alias("_n"), F.lit(None).cast("int").alias("_level"))
-    return none if done is None else done.unionByName(none)
+                break
+    else:
+        done.append(rest.select("_id", F.lit(None).cast(donors.schema[t.col].dataType).alias("_value"), F.lit(None).cast("bigint").alias("_donor"), F.lit(0).cast("bigint").alias("_n"), F.lit(None).cast("int").alias("_level")))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
-def _asked(given: DataFrame, tail: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+def _asked(given: DataFrame, tail: DataFrame, by: list[str], values: list[str], joined: bool = False) -> DataFrame:
     """Donors of the blocks that receivers ask for, counted per block and value: by, values, _c, _d (smallest donor id).
 
     Few asked blocks are broadcast and donors filtered before they are counted; otherwise donors are counted first, which leaves
-    of a hot block only its distinct values, and then joined.
+    of a hot block only its distinct values, and then joined. `joined`: the caller joins with the asked blocks in any case.
     """
-    count = lambda x: x.groupBy(*by, *values).agg(F.sum("_c").alias("_c"), F.min("_d").alias("_d"))
-    if not by:
-        return count(given)
+    count = lambda x: x.groupBy(*by, *values).agg(F.count(F.lit(1)).alias("_c"), F.min("_d").alias("_d"))
     asked = materialize(tail.select(*by).distinct(), "asked")
-    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(asked):
         return count(given.join(F.broadcast(asked), by, "left_semi"))
-    return count(given).join(asked, by, "left_semi")
+    return count(given) if joined else count(given).join(asked, by, "left_semi")
 
 
-def _near(given: DataFrame, tail: DataFrame, keys: list[str], t: Target) -> DataFrame:
-    """Per block and receiving day: the donors of at most WINDOW days before or after, weighted by how near their day is."""
-    days = tail.select(*keys, "_day").filter("_day is not null").distinct()
+def _near(donors: DataFrame, receivers: DataFrame, block: list[str], t: Target, low: int | None) -> DataFrame:
+    """Receivers with the donors of their block of at most WINDOW days before or after, weighted by how near their day is.
+
+    `low`: the smallest id, if all are less than 2**57 above it; then a donor and how near it is fit one number, whose least is found by hashing.
+    """
+    keys = [f"_k{i}" for i in range(len(block))]
+    keyed = lambda x: x.select("*", *[F.col(f).alias(k) for f, k in zip(block, keys, strict=True)]).filter(" and ".join(f"{k} is not null" for k in [*keys, "_day"]))
     # A window of 31 days on both sides touches the day's month and its two neighbours.
     months = F.array(*[F.add_months(F.trunc("_day", "month"), k) for k in (-1, 0, 1)])
-    days = days.select("*", F.explode(months).alias("_month"))
-    counts = _asked(given.withColumn("_month", F.trunc("_from", "month")), days, [*keys, "_month"], ["_from", "_v"])
-    pairs = counts.join(days, [*keys, "_month"]).withColumn("_gap", F.abs(F.date_diff("_from", "_day")).cast("bigint")).filter(F.col("_gap") <= WINDOW)
-    by = [*keys, "_day"]
-    vals = pairs.groupBy(*by, "_v").agg(F.sum(F.col("_c") / (1 + F.col("_gap"))).alias("_w"), F.sum("_c").alias("_c"), F.min_by("_d", F.struct("_gap", "_d")).alias("_d"))
-    return _choose(vals, by, t)
-
-
-def _nearest(given: DataFrame, tail: DataFrame, keys: list[str], t: Target) -> DataFrame:
-    """Per block and receiving day: the donors of the nearest day that has any, on both sides if equally near, however far away.
-
-    Only the distinct days of a block are ordered; donors are counted on the days that are nearest to some receiver.
+    tail = keyed(receivers).select("_id", "_day", *keys)
+    days = materialize(tail.select(*keys, "_day").distinct().withColumn("_at", F.monotonically_increasing_id()), "receiver-days")
+    wide = days.select("*", F.explode(months).alias("_month"))
+    given = keyed(donors).select(*keys, F.col(t.col).alias("_v"), F.col("_id").alias("_d"), F.col("_day").alias("_from"), F.trunc("_day", "month").alias("_month"))
+    counts = _asked(given, wide, [*keys, "_month"], ["_from", "_v"], joined=True)
+    pairs = counts.join(wide, [*keys, "_month"]).withColumn("_gap", F.abs(F.date_diff("_from", "_day")).cast("bigint")).filter(F.col("_gap") <= WINDOW)
+    closest = F.min_by("_d", F.struct("_gap", "_d")) if low is None else F.min(F.col("_gap") * (1 << 57) + (F.col("_d") - low)).bitwiseAND((1 << 57) - 1) + low
+    vals = pairs.groupBy("_at", "_v").agg(F.sum(F.col("_c") / (1 + F.col("_gap"))).alias("_w"), F.sum("_c").alias("_c"), closest.alias("_d"))
+    picked = _choose(vals, ["_at"], t).join(days, "_at")
+    return tail.join(picked, [*keys, "_day"]).withColumn("_level", F.lit(1))
+
+
+def _widen(donors: DataFrame, receivers: DataFrame, levels: list[tuple[int, list[str]]], t: Target) -> DataFrame:
+    """Receivers with the donors of the first of several blocks, each wider than the one before, that has any: those of the nearest day, on
+    both sides if equally near, however far away; all of them if the target is not timed, the receiver has no day or the block no dated donors.
+
+    Donors are read twice for all blocks together: for the days that each asked block has, of which only the distinct ones are ordered, and
+    to be counted where some receiver has chosen them.
     """
-    by = [*keys, "_day"]
-    asks = tail.select(*by).filter("_day is not null").distinct()
-    days = _asked(given, asks, keys, ["_from"]).select(*keys, F.col("_from").alias("_day"), F.col("_from"))
-    line = asks.withColumns({"_from": F.lit(None).cast("date"), "_ask": F.lit(True)}).unionByName(days.withColumn("_ask", F.lit(False)))
-    line = line.groupBy(*by).agg(F.max("_from").alias("_from"), F.max("_ask").alias("_ask"))
-    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_day")
-    before = F.last("_from", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_from", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    sides = line.select(*by, "_ask", before.alias("_b"), after.alias("_a")).filter("_ask")
+    feats = sorted({f for _, block in levels for f in block})
+    cell = lambda f, block: (F.col(f) if f in block else F.lit(None).cast(donors.schema[f].dataType)).alias(f"f{feats.index(f)}")
+    held = lambda block: F.expr(" and ".join(f"`{f}` is not null" for f in block) or "true")
+    keys = F.array(*[F.when(held(block), F.struct(F.lit(level).alias("level"), *[cell(f, block) for f in feats])) for level, block in levels])
+    spread = lambda x, *cols: x.select(*cols, F.explode(keys).alias("_k")).filter("_k is not null")
+    tail = spread(receivers, "_id", "_day")
+    given = spread(donors, F.col(t.col).alias("_v"), F.col("_id").alias("_d"), (F.col("_day") if t.timed else F.lit(None).cast("date")).alias("_from"))
+    # From here on blocks go by a number.
+    asked = materialize(tail.select("_k").distinct().select("_k", F.col("_k.level").alias("_level"), F.monotonically_increasing_id().alias("_at")), "asked")
+    few = is_small(asked)
+    tail = _numbered(tail, asked, few).select("_id", "_day", "_at", "_level")
+    days = _numbered(given if few else given.select("_k", "_from").distinct(), asked, few).select("_at", "_from").distinct()
+    days = materialize(days, "donor-days")
+    ways = tail.join(days.select("_at").distinct(), "_at", "left_semi")
+    if t.timed:
+        ways = ways.join(_nearest(days.filter("_from is not null"), tail.select("_at", "_day").filter("_day is not null").distinct()), ["_at", "_day"], "left")
+    else:
+        ways = ways.withColumn("_found", F.lit(None).cast("array<date>"))
+    chosen = ways.groupBy("_id").agg(F.min(F.struct("_level", "_at", "_day", "_found")).alias("_w")).select("_id", "_w.*")
+    chosen = materialize(chosen, "chosen")
+    near, alike = chosen.filter("_found is not null"), chosen.filter("_found is null")
+    want = materialize(near.select("_at", "_day", F.explode("_found").alias("_from")).distinct(), "nearest-days")
+    whole = materialize(alike.select("_at").distinct(), "blocks")
+    heads = materialize(asked.join(chosen.select("_at").distinct(), "_at", "left_semi"), "heads")
+    counts = materialize(_counted(given, heads, want, whole), "donors")
+    cols = ["_id", "_value", "_donor", "_n", "_level"]
+    got = []
+    if t.timed:
+        vals = counts.join(want, ["_at", "_from"]).groupBy("_at", "_day", "_v").agg(F.sum("_c").cast("double").alias("_w"), F.sum("_c").alias("_c"), F.min("_d").alias("_d"))
+        got.append(near.join(_choose(vals, ["_at", "_day"], t), ["_at", "_day"]).select(*cols))
+    if not t.timed or not whole.isEmpty():
+        vals = counts.join(whole, "_at", "left_semi").groupBy("_at", "_v").agg(F.sum("_c").alias("_c"), F.min("_d").alias("_d"))
+        got.append(alike.join(_all(vals, ["_at"], t), "_at").select(*cols))
+    return got[0] if len(got) == 1 else got[0].unionByName(got[1])
+
+
+def _numbered(rows: DataFrame, blocks: DataFrame, few: bool) -> DataFrame:
+    """Rows of the `blocks` with their number _at: by a broadcast if the blocks are few."""
+    return rows.join(F.broadcast(blocks) if few else blocks.hint("merge"), "_k")
+
+
+def _counted(given: DataFrame, heads: DataFrame, want: DataFrame, whole: DataFrame) -> DataFrame:
+    """Donors of the days `want` (_at, _from) and of the whole blocks `whole` (_at), both of `heads`: _at, _from, _v, _c, _d, counted before they are joined if those are many."""
+    days = materialize(want.select("_at", "_from").distinct().withColumn("_is", F.lit(True)), "wanted")
+    few, small = is_small(heads), is_small(days)
+    values, one, more = ["_from", "_v"], [F.count(F.lit(1)).alias("_c"), F.min("_d").alias("_d")], [F.sum("_c").alias("_c"), F.min("_d").alias("_d")]
+    rows = given if few else given.groupBy("_k", *values).agg(*one)
+    rows = _numbered(rows, heads, few)
+    if not small and few:
+        rows = rows.groupBy("_at", *values).agg(*one)
+    rows = rows.join(F.broadcast(days) if small else days.hint("merge"), ["_at", "_from"], "left")
+    rows = join_small(rows, whole.withColumn("_all", F.lit(True)), "_at", "left").filter("_is or _all")
+    return rows.groupBy("_at", *values).agg(*(one if few and small else more))
+
+
+def _nearest(days: DataFrame, asks: DataFrame) -> DataFrame:
+    """_at, _day of `asks` with _found: the nearest of the block's days, two if equally near; blocks without days are left out. `days`: _at, _from."""
+    line = asks.withColumns({"_from": F.lit(None).cast("date"), "_ask": F.lit(True)}).unionByName(days.select("_at", F.col("_from").alias("_day"), "_from", F.lit(False).alias("_ask")))
+    # Each frame ends with its row, a donor's day before a receiver's equal one; a frame to the end of the block would be read anew for every row.
+    side = lambda way: F.last("_from", True).over(Window.partitionBy("_at").orderBy(way("_day"), "_ask").rowsBetween(Window.unboundedPreceding, 0))
+    sides = line.select("_at", "_day", "_ask", side(F.asc).alias("_b"), side(F.desc).alias("_a")).filter("_ask and (_b is not null or _a is not null)")
     gap = F.least(F.date_diff("_day", "_b"), F.date_diff("_a", "_day"))
-    found = F.array_distinct(F.array(F.when(F.date_diff("_day", "_b") == gap, F.col("_b")), F.when(F.date_diff("_a", "_day") == gap, F.col("_a"))))
-    want = materialize(sides.select(*by, F.explode(found).alias("_from")).filter("_from is not null"), "nearest-days")
-    counts = _asked(given, want, [*keys, "_from"], ["_v"])
-    vals = counts.join(want, [*keys, "_from"]).groupBy(*by, "_v").agg(F.sum("_c").cast("double").alias("_w"), F.sum("_c").alias("_c"), F.min("_d").alias("_d"))
-    return _choose(vals, by, t)
+    found = F.array(F.when(F.date_diff("_day", "_b") == gap, F.col("_b")), F.when(F.date_diff("_a", "_day") == gap, F.col("_a")))
+    return sides.select("_at", "_day", F.array_distinct(F.array_compact(found)).alias("_found"))
 
 
 def _choose(vals: DataFrame, by: list[str], t: Target) -> DataFrame:

@@ -77,7 +77,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of `df`; very large where it knows nothing."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> bool:

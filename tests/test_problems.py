@@ -9,11 +9,13 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from anchorline.operators import hot_deck as hot_deck_module
 from anchorline.operators import references, rolling, skew
 from anchorline.operators import value_counts as vc
 from anchorline.operators.groups import connected_components
 from anchorline.operators.hot_deck import Target, hot_deck
 from anchorline.operators.stand_ins import find_stand_ins, placeholder_text
+from anchorline.session import is_small, materialize
 
 
 class TestValueCounts:
@@ -211,6 +213,42 @@ class TestStandInsAndHotDeck:
         got = {r.row_id: (r.value, r.donor_id, r.level) for r in deck.cells.collect()}
         assert got == {3: ("10", 2, 1), 7: ("70", 6, 2), 8: ("70", 6, 3), 9: ("30", 4, 3), 10: ("30", 5, 4)}
 
+    def test_wider_blocks_take_no_more_passes(self, spark, monkeypatch):
+        d = date(2024, 5, 1)
+        data = [(1, "A", "X", 1, 10, d), (2, "B", "X", 1, 20, d), (3, "A", "X", 2, None, d), (4, "C", "X", 1, None, d + timedelta(2)), (5, "C", "Y", 1, None, d), (6, "A", "X", 1, None, None), (7, None, None, None, None, d)]
+        df = spark.createDataFrame(data, "row_id bigint, Product string, Category string, Quantity bigint, Amount bigint, Date date")
+        written, got = [], []
+        real = hot_deck_module.materialize
+        monkeypatch.setattr(hot_deck_module, "materialize", lambda x, name="table": (written.append(name), real(x, name))[1])
+        for blocks in ([["Product", "Quantity"], []], [["Product", "Quantity"], ["Product", "Quantity"], ["Product"], ["Category"], []]):
+            written.clear()
+            deck = hot_deck(df, [Target("Amount", blocks)], {"Amount": F.col("Amount").isNull()}, "row_id", "Date")
+            got.append((len(written), {r.row_id: (r.value, r.donor_id, r.donors, r.level) for r in deck.cells.collect()}))
+        assert got[0][0] == got[1][0]
+        assert got[1][1] == {3: ("10", 1, 1, 3), 4: ("10", 1, 2, 4), 5: ("10", 1, 2, 5), 6: ("10", 1, 1, 2), 7: ("10", 1, 2, 5)}
+
+    def test_many_blocks_are_not_broadcast(self, spark, monkeypatch):
+        df, *_ = sales(spark, n=400)
+        targets = [Target("Amount", [["Product", "Quantity"], ["Product"], ["Category"], []]), Target("Category", [["Product"], ["CustomerID"], []], numeric=False, timed=False)]
+        gone = {"Amount": F.col("Amount").isNull(), "Category": F.col("Category").isNull()}
+        cells = lambda: sorted(map(tuple, hot_deck(df, targets, gone, "row_id", "Date").cells.collect()))
+        few = cells()
+        monkeypatch.setattr(hot_deck_module, "join_small", lambda x, small, on, how="inner": x.join(small.hint("merge"), on, how))
+        for small in (lambda x: False, lambda x: "_k" in x.columns):
+            monkeypatch.setattr(hot_deck_module, "is_small", small)
+            assert cells() == few
+
+    def test_ids_far_apart(self, spark):
+        df, *_ = sales(spark, n=300)
+        gone = {"Amount": F.col("Amount").isNull() | F.col("Amount").isin(-1, 99999999)}
+        far = df.withColumn("row_id", F.when(F.col("row_id") < 150, F.col("row_id") - (1 << 62)).otherwise(F.col("row_id")))
+        near, wide = (hot_deck(x, [Target("Amount", [["Product"], []])], gone, "row_id", "Date").cells.collect() for x in (df, far))
+        back = lambda i: None if i is None else i + (1 << 62) if i < 0 else i
+        assert {(r.row_id, r.value, r.donor_id) for r in near} == {(back(r.row_id), r.value, back(r.donor_id)) for r in wide}
+
+    def test_nested_columns_can_be_small(self, spark):
+        assert is_small(materialize(spark.createDataFrame([(("a", 1),)], "k struct<a:string,b:int>")))
+
     def test_edges(self, spark):
         schema = "row_id bigint, Product string, Category string, Amount bigint, Quantity bigint, Date date, load_id int"
         empty = spark.createDataFrame([], schema)
