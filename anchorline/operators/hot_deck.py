@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -159,12 +160,14 @@ def _widen(donors: DataFrame, receivers: DataFrame, levels: list[tuple[int, list
     keys = F.array(*[F.when(held(block), F.struct(F.lit(level).alias("level"), *[cell(f, block) for f in feats])) for level, block in levels])
     spread = lambda x, *cols: x.select(*cols, F.explode(keys).alias("_k")).filter("_k is not null")
     tail = spread(receivers, "_id", "_day")
-    given = spread(donors, F.col(t.col).alias("_v"), F.col("_id").alias("_d"), (F.col("_day") if t.timed else F.lit(None).cast("date")).alias("_from"))
+    told = [F.col(t.col).alias("_v"), F.col("_id").alias("_d"), (F.col("_day") if t.timed else F.lit(None).cast("date")).alias("_from")]
+    given = spread(donors, *told)
+    within = lambda blocks: _looked_up(donors, told, blocks, levels, feats)
     # From here on blocks go by a number.
     asked = materialize(tail.select("_k").distinct().select("_k", F.col("_k.level").alias("_level"), F.monotonically_increasing_id().alias("_at")), "asked")
     few = is_small(asked)
     tail = _numbered(tail, asked, few).select("_id", "_day", "_at", "_level")
-    days = _numbered(given if few else given.select("_k", "_from").distinct(), asked, few).select("_at", "_from").distinct()
+    days = (within(asked) if few else _numbered(given.select("_k", "_from").distinct(), asked, few)).select("_at", "_from").distinct()
     days = materialize(days, "donor-days")
     ways = tail.join(days.select("_at").distinct(), "_at", "left_semi")
     if t.timed:
@@ -177,7 +180,7 @@ def _widen(donors: DataFrame, receivers: DataFrame, levels: list[tuple[int, list
     want = materialize(near.select("_at", "_day", F.explode("_found").alias("_from")).distinct(), "nearest-days")
     whole = materialize(alike.select("_at").distinct(), "blocks")
     heads = materialize(asked.join(chosen.select("_at").distinct(), "_at", "left_semi"), "heads")
-    counts = materialize(_counted(given, heads, want, whole), "donors")
+    counts = materialize(_counted(given, within, heads, want, whole), "donors")
     cols = ["_id", "_value", "_donor", "_n", "_level"]
     got = []
     if t.timed:
@@ -194,13 +197,31 @@ def _numbered(rows: DataFrame, blocks: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(blocks) if few else blocks.hint("merge"), "_k")
 
 
-def _counted(given: DataFrame, heads: DataFrame, want: DataFrame, whole: DataFrame) -> DataFrame:
+def _looked_up(donors: DataFrame, told: list[Column], blocks: DataFrame, levels: list[tuple[int, list[str]]], feats: list[str]) -> DataFrame:
+    """The columns `told` (_v, _d, _from) of the donors of few `blocks` with the block's number _at: one broadcast for each level that `blocks` has, by its plain
+    features; the row is then spread over the numbers found, not over structs of features."""
+    have = {x["_level"] for x in blocks.select("_level").distinct().collect()}
+    rows, found = donors.select("*", *[c.alias(f"{OWN}{i}") for i, c in enumerate(told)]), []
+    for level, block in levels:
+        if level not in have:
+            continue
+        keys = [f"{OWN}k{i}" for i in range(len(block))]
+        side = blocks.filter(F.col("_level") == level).select(*[F.col("_k")[f"f{feats.index(f)}"].alias(k) for f, k in zip(block, keys, strict=True)], F.col("_at").alias(f"{OWN}at{level}"))
+        same = F.lit(True)
+        for f, k in zip(block, keys, strict=True):
+            same = same & (F.col(f) == F.col(k))
+        rows = rows.join(F.broadcast(side), same, "left").drop(*keys)
+        found.append(F.col(f"{OWN}at{level}"))
+    at = F.explode(F.array(*found)) if len(found) > 1 else found[0] if found else F.lit(None).cast("bigint")
+    return rows.select(at.alias("_at"), *[F.col(f"{OWN}{i}").alias(n) for i, n in enumerate(("_v", "_d", "_from"))]).filter("_at is not null")
+
+
+def _counted(given: DataFrame, within: Callable[[DataFrame], DataFrame], heads: DataFrame, want: DataFrame, whole: DataFrame) -> DataFrame:
     """Donors of the days `want` (_at, _from) and of the whole blocks `whole` (_at), both of `heads`: _at, _from, _v, _c, _d, counted before they are joined if those are many."""
     days = materialize(want.select("_at", "_from").distinct().withColumn("_is", F.lit(True)), "wanted")
     few, small = is_small(heads), is_small(days)
     values, one, more = ["_from", "_v"], [F.count(F.lit(1)).alias("_c"), F.min("_d").alias("_d")], [F.sum("_c").alias("_c"), F.min("_d").alias("_d")]
-    rows = given if few else given.groupBy("_k", *values).agg(*one)
-    rows = _numbered(rows, heads, few)
+    rows = within(heads) if few else _numbered(given.groupBy("_k", *values).agg(*one), heads, few)
     if not small and few:
         rows = rows.groupBy("_at", *values).agg(*one)
     rows = rows.join(F.broadcast(days) if small else days.hint("merge"), ["_at", "_from"], "left")

@@ -57,14 +57,18 @@ def find_stand_ins(df: DataFrame, group: str, category: str, amount: str, quanti
     rate = materialize(rated.groupBy("g").agg(F.percentile_approx("r", 0.5, 200).alias("rate")), "rates")
     rel = join_small(rated, rate, "g").withColumn("rel", F.col("r") / F.col("rate"))
     off = materialize(rel.groupBy("p").agg(F.percentile_approx("rel", 0.5, 1000).alias("off")), "offsets")
-    fit = (F.col("rel") / F.col("off")).between(1 / FACTOR, FACTOR).cast("int")
-    fits = join_small(rel, off, "p").select("g", "a", "q", fit.alias("fa"), fit.alias("fq"))
-    # Zero, and quantities under one, have no rate: they fit nothing, and say nothing of the other column.
-    none = known.filter("a = 0 or q <= 0").select("g", F.when(F.col("a") == 0, F.col("a")).alias("a"), F.when(F.col("q") <= 0, F.col("q")).alias("q"), F.lit(0).alias("fa"), F.lit(0).alias("fq"))
-    cells = F.array(F.struct(F.lit(amount).alias("col"), F.col("a").alias("v"), F.col("fa").alias("fit")), F.struct(F.lit(quantity).alias("col"), F.col("q").alias("v"), F.col("fq").alias("fit")))
-    long = fits.unionByName(none).select(F.xxhash64("g").alias("h"), F.explode(cells).alias("x")).select("h", "x.*").filter("v is not null")
-    by = long.groupBy("col", "v").agg(F.avg("fit").alias("fit"), F.min("h").alias("lo"), F.max("h").alias("hi"))  # two groups: lo and hi differ
-    numbers = by.filter((F.col("lo") != F.col("hi")) & (F.col("fit") < FITS)).select("col", F.col("v").cast("bigint").cast("string").alias("value"))
+    # Zero, and quantities under one, have no rate: they fit nothing, and say nothing of the other column. One scan serves both kinds.
+    ok = F.coalesce((F.col("a") != 0) & (F.col("q") > 0), F.lit(False))
+    held = known.select("g", "p", "a", "q", ok.alias("ok")).filter("ok or a = 0 or q <= 0")
+    both = join_small(join_small(held, rate, "g", "left"), off, "p", "left").filter("not ok or off is not null")
+    fit = F.when(F.col("ok"), (F.abs("a") / F.col("q") / F.col("rate") / F.col("off")).between(1 / FACTOR, FACTOR).cast("int")).otherwise(0)
+    # 0 is the amount, 1 the quantity: numbers are exploded and grouped at less cost than structs and names.
+    both = both.select(F.xxhash64("g").alias("h"), "ok", "a", "q", fit.alias("fit"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    v = F.when(F.col("i") == 0, F.when(F.col("ok") | (F.col("a") == 0), F.col("a"))).otherwise(F.when(F.col("ok") | (F.col("q") <= 0), F.col("q")))
+    long = both.select("i", "h", "fit", v.alias("v")).filter("v is not null")
+    by = long.groupBy("i", "v").agg(F.avg("fit").alias("fit"), F.min("h").alias("lo"), F.max("h").alias("hi"))  # two groups: lo and hi differ
+    odd = by.filter((F.col("lo") != F.col("hi")) & (F.col("fit") < FITS))
+    numbers = odd.select(F.when(F.col("i") == 0, amount).otherwise(quantity).alias("col"), F.col("v").cast("bigint").cast("string").alias("value"))
     texts = materialize(rows.filter("c is not null").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")), "texts")
     held = texts.filter("g is not null")
     own = held.filter(~placeholder_text(F.col("c"))).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("own"))

@@ -238,6 +238,19 @@ class TestStandInsAndHotDeck:
             monkeypatch.setattr(hot_deck_module, "is_small", small)
             assert cells() == few
 
+    def test_few_blocks_are_found_by_plain_features(self, spark, monkeypatch):
+        df, *_ = sales(spark, n=400)
+        plans, real = [], hot_deck_module.materialize
+        monkeypatch.setattr(hot_deck_module, "materialize", lambda x, name="table": (plans.append((name, x._jdf.queryExecution().optimizedPlan().toString())), real(x, name))[1])
+        hot_deck(df, [Target("Amount", [["Product", "Quantity"], ["Product"], ["Category"], []])], {"Amount": F.col("Amount").isNull()}, "row_id", "Date")
+        days = [p for name, p in plans if name in ("donor-days", "donors")]
+        assert len(days) == 2 and not any("explode(array(CASE" in p or "named_struct" in p for p in days)
+
+    def test_one_scan_fits_all_numbers(self, spark):
+        df = spark.createDataFrame([(p, "X", a, q, 1) for p in "AB" for a, q in [(10, 1), (20, 2), (30, 3), (10, 1), (0, 1), (None, 0), (10, None), (7777, 1)]], "Product string, Category string, Amount bigint, Quantity bigint, load_id int")
+        known = find_stand_ins(df, "Product", "Category", "Amount", "Quantity", "load_id")
+        assert known.values("Amount") == ["0", "7777"] and known.values("Quantity") == ["0"]
+
     def test_ids_far_apart(self, spark):
         df, *_ = sales(spark, n=300)
         gone = {"Amount": F.col("Amount").isNull() | F.col("Amount").isin(-1, 99999999)}
