@@ -55,5 +55,7 @@ def rolling_totals(df: DataFrame, entity: str, day: str, amount: str, windows: t
     outs = []
     for k in windows:
         outs += [F.col(f"t{k}").alias(f"total_{k}"), (F.col(f"t{k}") / F.lit(float(k))).alias(f"avg_{k}"), F.col(f"c{k}").alias(f"rows_{k}")]
-    flat = runs.select(F.col("e").alias(entity), *outs, F.sequence("at", ends).alias("_days"))
-    return flat.select(entity, F.explode("_days").alias(day), *[c for c in flat.columns if c not in (entity, "_days")])
+    # Days are counted as integers and added to the first one.
+    flat = runs.select(F.col("e").alias(entity), "at", *outs, F.sequence(F.lit(0), F.date_diff(ends, "at")).alias("_days"))
+    days = flat.select("*", F.explode("_days").alias("_day"))
+    return days.select(entity, F.date_add("at", F.col("_day")).alias(day), *[c for c in flat.columns if c not in (entity, "at", "_days")])

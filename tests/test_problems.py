@@ -122,6 +122,13 @@ class TestRolling:
         dup = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (None, 3, "n"), (None, 4, "n")], "t bigint, row_id bigint, v string")
         assert sorted((x.t or 0, x.v) for x in rolling.first_delivery(dup, "t", "row_id", ["v"]).collect()) == [(0, "n"), (0, "n"), (1, "a")]
 
+    def test_days_are_counted_as_integers(self, spark):
+        df = spark.createDataFrame([(1, date(2024, 2, 28), 10), (1, date(2024, 3, 2), 1), (2, date(2024, 3, 2), 5)], "c bigint, d date, a bigint")
+        out = rolling.rolling_totals(df, "c", "d", "a")
+        assert sorted((x.c, x.d.isoformat(), x.total_7) for x in out.collect()) == [(1, "2024-02-28", 10), (1, "2024-02-29", 10), (1, "2024-03-01", 10), (1, "2024-03-02", 11), (2, "2024-03-02", 5)]
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(0," in plan and "sequence(at" not in plan
+
     def test_window_edges(self, spark):
         df = spark.createDataFrame([(1, date(2024, 1, 1), 10), (2, date(2024, 3, 1), 1)], "c bigint, d date, a bigint")
         got = {x.d: (x.total_7, x.total_30) for x in rolling.rolling_totals(df, "c", "d", "a").filter("c = 1").collect()}
