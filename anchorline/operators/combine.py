@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from anchorline.functions.checks import col, columns, frame, one_of
 from anchorline.functions.order import temp
 from anchorline.functions.types import is_text
+from anchorline.operators.alike import LEAST, meet, split_blocks
 from anchorline.operators.groups import connected_components
 from anchorline.session import BROADCAST_ROWS, is_small, join_small, materialize
 
@@ -171,7 +172,8 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     """Pairs of rows whose texts are alike: all columns with _left and _right, and the score (4 places).
 
     ratio: twice the matching characters by the length of both (difflib), in Arrow batches behind a native bound on lengths and on the
-    characters both hold, which loses no pair. levenshtein: 1 - distance / longer length, all native. Distinct texts are compared, not rows; `block` names
+    characters both hold, which loses no pair. levenshtein: 1 - distance / longer length; in blocks with many pairs, only those are scored
+    whose counts of characters allow the threshold (`alike.meet`), which loses none either. Distinct texts are compared, not rows; `block` names
     a left and a right column whose values must be equal, without which every text meets every other. Null texts and blocks match nothing.
     """
     columns(left, left_on), columns(right, right_on)
@@ -179,16 +181,26 @@ def fuzzy_match(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     side = lambda df, c, n, i: df.select(col(c).cast("string").alias(n), (col(block[i]) if block else F.lit(0)).alias(f"k{i}")).filter(F.col(n).isNotNull()).distinct()
     a, b = side(left, left_on, "x", 0), side(right, right_on, "y", 1)
     la, lb = F.length("x"), F.length("y")
-    bound = 2 * F.least(la, lb) / F.greatest(la + lb, F.lit(1)) >= threshold
-    alike = bound | ((la == 0) & (lb == 0))
-    pairs = a.join(b, (F.col("k0") == F.col("k1")) & alike)
+    longer = F.greatest(la, lb, F.lit(1))
     if method == "levenshtein":
-        score = F.when(F.greatest(la, lb) == 0, 1.0).otherwise(1 - F.levenshtein("x", "y") / F.greatest(la, lb))
+        # Beyond the distance that the threshold allows, the distance is given up: -1.
+        d = F.call_function("levenshtein", F.col("x"), F.col("y"), F.floor((1 - threshold) * longer + 1e-6).cast("int"))
+        bound, score = 1 - F.abs(la - lb) / longer >= threshold, F.when(d >= 0, 1 - d / longer)
     else:
         # No ratio exceeds the one of the characters both texts hold, counted.
-        score = _ratio("x", "y", F.lit(float(threshold)))
-    pairs = pairs.withColumn("s", score).filter(F.col("s") >= threshold).select("x", "y", "k0", F.round("s", 4).alias("s"))
+        bound, score = 2 * F.least(la, lb) / F.greatest(la + lb, F.lit(1)) >= threshold, _ratio("x", "y", F.lit(float(threshold)))
+    alike = bound | ((la == 0) & (lb == 0))
+    same, groups = left is right and left_on == right_on and (block is None or block[0] == block[1]), None
+    if method == "levenshtein" and LEAST <= threshold <= 1 and a.schema["k0"].dataType == b.schema["k1"].dataType:
+        a = materialize(a.filter(F.col("k0").isNotNull()), "texts")
+        b = a.select(F.col("x").alias("y"), F.col("k0").alias("k1")) if same else materialize(b.filter(F.col("k1").isNotNull()), "texts")
+        a, b, groups = split_blocks(a, b, same)
+    pairs = a.join(b, (F.col("k0") == F.col("k1")) & alike).select("x", "y", "k0", F.lit(False).alias("m"))
+    if groups is not None:
+        pairs = pairs.union(meet(groups, float(threshold), same))
+    pairs = pairs.withColumn("s", score).filter(F.col("s") >= threshold).select("x", "y", "k0", "m", F.round("s", 4).alias("s"))
     pairs = materialize(pairs, "matches")
+    pairs = (pairs.union(pairs.filter("m").select(F.col("y").alias("x"), F.col("x").alias("y"), "k0", "m", "s")) if same else pairs).drop("m")
     la2 = left.select(*[col(c).alias(f"{c}_left") for c in left.columns], col(left_on).cast("string").alias("x"))
     lb2 = right.select(*[col(c).alias(f"{c}_right") for c in right.columns], col(right_on).cast("string").alias("y"))
     keyed = lambda df, i: df.withColumn("k0", col(block[i] + ("_left", "_right")[i]) if block else F.lit(0))

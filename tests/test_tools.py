@@ -1,9 +1,12 @@
 """The tools on small frames: values, nulls, order, errors."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from anchorline.operators import combine, develop, parse, preparation, transform
+from anchorline.operators import alike, combine, develop, parse, preparation, transform
 from anchorline.session import use_spark
 from anchorline.sources import files
 
@@ -200,6 +203,34 @@ class TestJoin:
         assert out.columns == ["c_left", "n_right", "MatchScore"] and [tuple(r) for r in out.collect()] == [("Acme Corp", "Acme Corporation", 0.72)]
         assert combine.fuzzy_match(a, b, "c", "n", 0.99).count() == 0
 
+    @pytest.mark.parametrize("chunk", [16_384, 60])
+    @pytest.mark.parametrize("same", [True, False])
+    @pytest.mark.parametrize("threshold", [0.6, 0.8, 1.0])
+    def test_fuzzy_counts_lose_nothing(self, spark, rows, monkeypatch, chunk, same, threshold):
+        monkeypatch.setattr(alike, "CHUNK", chunk)
+        monkeypatch.setattr(alike, "CHUNK_BYTES", 60 * chunk)
+        pick = random.Random(7)
+
+        def texts(n):
+            for k in [pick.choice("abc") for _ in range(n)] + [None, None, "d"]:
+                t = "".join(pick.choice("aÄb ß") for _ in range(pick.randint(0, 12)))
+                yield "".join(c * pick.choice([0, 1, 1, 1, 2, 6]) for c in t) if pick.random() < 0.3 else t, k
+
+        a = spark.createDataFrame([*texts(300), (None, "a"), ("x" * 3000, "a"), ("x" * 2500 + "y" * 500, "a")], "t string, k string")
+        b = a if same else spark.createDataFrame([*texts(400), ("\U0001f600b", "a"), ("x" * 2900, "a")], "t string, k string")
+        score = 1 - F.levenshtein("l.t", "r.t") / F.greatest(F.length("l.t"), F.length("r.t"), F.lit(1))
+        all_pairs = a.alias("l").join(b.alias("r"), F.col("l.k") == F.col("r.k")).select(F.col("l.t"), F.col("r.t"), F.col("l.k"), F.round(score, 4), score.alias("s")).filter(F.col("s") >= threshold).drop("s")
+        got = combine.fuzzy_match(a, b, "t", "t", threshold, method="levenshtein", block=("k", "k")).select("t_left", "t_right", "k_left", "MatchScore")
+        assert rows(got) == rows(all_pairs.toDF("t_left", "t_right", "k_left", "MatchScore"))
+
+    def test_fuzzy_large_block(self, spark):
+        began, pick = time.monotonic(), random.Random(3)
+        names = {"".join(pick.choice("aeioulnrst ") for _ in range(40)) for _ in range(12_000)}
+        df = spark.createDataFrame([(n,) for n in names] + [(min(names)[:-1] + "!",)], "n string").repartition(4)
+        out = combine.fuzzy_match(df, df, "n", "n", 0.8, method="levenshtein")
+        assert sorted(tuple(r) for r in out.filter("n_left != n_right").collect()) == [(min(names)[:-1] + "!", min(names), 0.975), (min(names), min(names)[:-1] + "!", 0.975)] and out.count() == len(names) + 3
+        assert time.monotonic() - began < 60  # 72 million pairs in one block: minutes in one task if each is scored
+
     def test_make_group(self, spark, rows):
         df = spark.createDataFrame([("A", "B"), ("B", "C"), ("D", "E"), ("F", None), (None, None)], "x string, y string")
         assert rows(combine.make_group(df, "x", "y")) == [("A", "A"), ("A", "B"), ("A", "C"), ("D", "D"), ("D", "E"), ("F", "F")]
